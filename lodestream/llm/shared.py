@@ -80,18 +80,26 @@ def held_out(id_col: str, mod: int, rest: int):
 
 
 class Memo(dict):
-    """Function values by word. Long words are not kept, and a full memo starts anew, so memory stays bounded."""
+    """Function values by word. Long words are not kept.
+
+    A full memo keeps what it has, as frequent words come early; after ``8 * most`` further misses it starts anew.
+    So memory stays bounded.
+    """
 
     def __init__(self, function: Callable[[bytes], object], most: int = 400_000, longest: int = 48):
         super().__init__()
-        self.function, self.most, self.longest = function, most, longest
+        self.function, self.most, self.longest, self.missed = function, most, longest, 0
 
     def __missing__(self, word: bytes):
         value = self.function(word)
-        if len(word) <= self.longest:
-            if len(self) >= self.most:
+        if len(self) < self.most:
+            if len(word) <= self.longest:
+                self[word] = value
+        else:
+            self.missed += 1
+            if self.missed > 8 * self.most:
                 self.clear()
-            self[word] = value
+                self.missed = 0
         return value
 
 

@@ -10,8 +10,6 @@ from __future__ import annotations
 import json
 import re
 
-import numpy as np
-
 from .shared import Memo
 
 
@@ -68,13 +66,18 @@ class Ids:
             raise ValueError("this vocabulary doesn't split texts at white space as assumed here")
 
     def _part(self, part: bytes) -> bytes:
-        return np.array([x.id for x in self.model.tokenize(part.decode("latin-1").translate(self.letters))], "<u4").tobytes()
+        text = part.decode()
+        if not part.isascii():
+            text = part.decode("latin-1").translate(self.letters)
+        return b"".join([x.id.to_bytes(4, "little") for x in self.model.tokenize(text)])
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
+        if text.isascii() and text.isalpha():
+            return self.parts[word.lower()]
         if _PLAIN(text) and "<|" not in text:
             return b"".join([self.parts[x.encode()] for x in _SPLIT(text.lower())])
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join([x.to_bytes(4, "little") for x in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def __call__(self, text: bytes | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers; a null text has none."""
