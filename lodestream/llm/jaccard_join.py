@@ -20,7 +20,7 @@ the key's smallest class, verified, and components are found. Only keys whose cl
 components are joined with themselves, across components alone. So a large group of near copies costs as many pairs as it
 has members, and no link between different components is missed.
 
-*Verification.* Exact: set sizes and intersections of the whole sets.
+*Verification.* Pairs whose prefixes already differ too much go first (an exact bound, see ``_plausible``). Then exact: set sizes and intersections of the whole sets.
 
 Defined results: null, empty and wordless texts have 0 shingles and are their own component. Null doc_ids are never the
 smallest if there is another id. Rows with equal ids are joined by their texts like any others; only the id and text
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .linear import mixed, word_hashes
-from .shared import Memo, count_array, load, materialize, utf8
+from .shared import Memo, count_array, discard, load, materialize, utf8
 
 WORDS = 3
 PERCENT = 90
@@ -95,8 +95,8 @@ def least_shared(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def signature(found: np.ndarray, logs: np.ndarray, frequent: int, percent: int = PERCENT) -> np.ndarray:
-    """Index keys of a set given as its sorted distinct hashes."""
+def signature(found: np.ndarray, logs: np.ndarray, frequent: int, percent: int = PERCENT) -> tuple[np.ndarray, bool]:
+    """Index keys of a set given as its sorted distinct hashes, and whether they are a prefix of single shingles."""
     n = len(found)
     rank = logs[_bucket(found)]
     ordered = found[np.lexsort((found, rank))]
@@ -104,7 +104,7 @@ def signature(found: np.ndarray, logs: np.ndarray, frequent: int, percent: int =
     need = n - least_shared(n, percent) + 1
     singles = ordered[: min(rare, need)]
     if rare >= need:
-        return singles
+        return singles, True
     rest, out = ordered[rare:], [singles]
     for level in {size.bit_length() - 1 for size in (least_shared(n, percent), n)}:
         classes = max(1, (1 << level) // SUBCLASS)
@@ -118,7 +118,7 @@ def signature(found: np.ndarray, logs: np.ndarray, frequent: int, percent: int =
             if len(own) > 1:
                 a, b = np.triu_indices(len(own), 1)
                 out.append(mixed(own[a], own[b], salt=1000 + level))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), False
 
 
 def _print(found: np.ndarray) -> bytes:
@@ -126,21 +126,23 @@ def _print(found: np.ndarray) -> bytes:
 
 
 def _signed(texts: DataFrame, logs: np.ndarray, frequent: int, words: int, percent: int) -> DataFrame:
-    """``doc_id, n, print, keys`` of each row; ``print`` is null for an empty set."""
+    """``doc_id, n, print, keys, plain`` of each row; ``print`` is null for an empty set."""
     sent = texts.sparkSession.sparkContext.broadcast(logs)  # BUCKETS bytes
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = word_hashes(), sent.value
         for batch in batches:
-            sizes, prints, keys = [], [], []
+            sizes, prints, keys, plain = [], [], [], []
             for text in utf8(batch.column(1)):
                 found = np.unique(shingles(text, hashes, words))
                 sizes.append(len(found))
                 prints.append(_print(found) if len(found) else None)
-                keys.append(signature(found, table, frequent, percent).view(np.int64) if len(found) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "print", "keys"])
+                made, single = signature(found, table, frequent, percent) if len(found) else (found, True)
+                keys.append(made.view(np.int64))
+                plain.append(single)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(plain)], names=["doc_id", "n", "print", "keys", "plain"])
 
-    return texts.mapInArrow(sign, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n long, print binary, keys array<long>")
+    return texts.mapInArrow(sign, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n long, print binary, keys array<long>, plain boolean")
 
 
 def _sets(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -171,13 +173,31 @@ def _sets(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     return made.join(classes.select("node", "print"), "print").groupBy("node").agg(F.first("found").alias("found"))
 
 
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Drops pairs ``a, b`` that can't link as their prefixes share too little.
+
+    Of the prefix that ends earlier, every shingle that isn't in the other prefix isn't in the other set at all, so there
+    are no more of them than the set's size less the overlap that the pair needs. Which one ends earlier isn't known
+    here, so a pair goes if this fails for both. Sets with pairs of shingles in their prefixes are passed on.
+    """
+    sides = [classes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.when(F.col("plain"), F.col("keys")).alias(f"p{k}")) for k in "ab"]
+    rows = pairs.join(sides[0], "a").join(sides[1], "b")
+    both = F.size(F.array_intersect("pa", "pb"))
+    needed = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    fits = (F.size("pa") - both <= F.col("na") - needed) | (F.size("pb") - both <= F.col("nb") - needed)
+    return rows.where(F.col("pa").isNull() | F.col("pb").isNull() | fits).select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs ``a, b`` that link."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = materialize(_sets(texts, materialize(classes.join(nodes, "node", "left_semi").select("node", "doc_id", "print"), "asked"), words), "sets")
+    asked = materialize(classes.join(nodes, "node", "left_semi").select("node", "doc_id", "print"), "asked")
+    sets = materialize(_sets(texts, asked, words), "sets")
     rows = pairs.join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a")
     shared = F.size(F.array_intersect("x", "y"))
-    return materialize(rows.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b"), "verified")
+    found = materialize(rows.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b"), "verified")
+    discard(asked, sets)
+    return found
 
 
 def _sizes_fit(percent: int):
@@ -189,13 +209,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     logs, frequent = rarity(texts, words)
     rows = materialize(_signed(texts, logs, frequent, words, percent), "signed")
-    classes = rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("keys").alias("keys"))
+    classes = rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("keys").alias("keys"), F.first("plain").alias("plain"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     entries = classes.select("node", "n", F.explode("keys").alias("key"))
     firsts = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
     shared = materialize(entries.join(firsts, "key").select("key", "node", "n", F.col("first.node").alias("other"), F.col("first.n").alias("m")), "shared")
     pairs = materialize(shared.where((F.col("node") != F.col("other")) & _sizes_fit(percent)).select(F.col("other").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = _verified(pairs, texts, classes, words, percent)
+    links = _verified(materialize(_plausible(pairs, classes, percent), "pairs"), texts, classes, words, percent)
     found = connected_components(links)
 
     # what is left: keys whose classes are in different components
@@ -208,7 +228,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     more = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit(percent)).select("a", "b").distinct()
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        further = _verified(more, texts, classes, words, percent)
+        further = _verified(materialize(_plausible(more, classes, percent), "pairs"), texts, classes, words, percent)
         found = connected_components(links.union(further)) if not further.isEmpty() else found
 
     placed = classes.select("node", "print", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
