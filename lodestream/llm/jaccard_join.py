@@ -16,10 +16,13 @@ the set (it is a power of two by size level; a set is indexed at the levels of a
 have), which keeps the number of pairs in proportion to the set.
 
 *Candidates.* Index keys that only one class has are dropped by an aggregation. Each other class of a key is paired with
-the key's smallest class, verified, and components are found. Only keys whose classes are then still in different
+the key's hub (the class with the fewest keys that nobody else has), verified, and components are found. Only keys whose classes are then still in different
 components are joined with themselves, across components alone. So a large group of near copies costs as many pairs as it
 has members, and no link between different components is missed.
 
+*Uniqueness bound.* A single key that only one class has is a shingle that no set whose prefix ends later has. A pair goes
+if both sets have more such keys than the shingles they may lack; this is tested within the joins that make the pairs.
+
 *Verification.* Pairs whose prefixes already differ too much go first (an exact bound, see ``_plausible``). Then exact: set sizes and intersections of the whole sets.
 
 Defined results: null, empty and wordless texts have 0 shingles and are their own component. Null doc_ids are never the
@@ -95,8 +98,8 @@ def least_shared(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def signature(found: np.ndarray, logs: np.ndarray, frequent: int, percent: int = PERCENT) -> tuple[np.ndarray, bool]:
-    """Index keys of a set given as its sorted distinct hashes, and whether they are a prefix of single shingles."""
+def signature(found: np.ndarray, logs: np.ndarray, frequent: int, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """Index keys of a set given as its sorted distinct hashes, single shingles first, and the number of these."""
     n = len(found)
     rank = logs[_bucket(found)]
     ordered = found[np.lexsort((found, rank))]
@@ -104,8 +107,8 @@ def signature(found: np.ndarray, logs: np.ndarray, frequent: int, percent: int =
     need = n - least_shared(n, percent) + 1
     singles = ordered[: min(rare, need)]
     if rare >= need:
-        return singles, True
-    rest, out = ordered[rare:], [singles]
+        return singles, need
+    rest, out = ordered[rare:], [np.zeros(0, np.uint64)]
     for level in {size.bit_length() - 1 for size in (least_shared(n, percent), n)}:
         classes = max(1, (1 << level) // SUBCLASS)
         sub = (rest % np.uint64(classes)).astype(np.int64)
@@ -118,7 +121,7 @@ def signature(found: np.ndarray, logs: np.ndarray, frequent: int, percent: int =
             if len(own) > 1:
                 a, b = np.triu_indices(len(own), 1)
                 out.append(mixed(own[a], own[b], salt=1000 + level))
-    return np.unique(np.concatenate(out)), False
+    return np.concatenate([singles, np.unique(np.concatenate(out))]), rare
 
 
 def _print(found: np.ndarray) -> bytes:
@@ -126,23 +129,23 @@ def _print(found: np.ndarray) -> bytes:
 
 
 def _signed(texts: DataFrame, logs: np.ndarray, frequent: int, words: int, percent: int) -> DataFrame:
-    """``doc_id, n, print, keys, plain`` of each row; ``print`` is null for an empty set."""
+    """``doc_id, n, print, keys, singles`` of each row; ``print`` is null for an empty set."""
     sent = texts.sparkSession.sparkContext.broadcast(logs)  # BUCKETS bytes
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, table = word_hashes(), sent.value
         for batch in batches:
-            sizes, prints, keys, plain = [], [], [], []
+            sizes, prints, keys, singles = [], [], [], []
             for text in utf8(batch.column(1)):
                 found = np.unique(shingles(text, hashes, words))
                 sizes.append(len(found))
                 prints.append(_print(found) if len(found) else None)
-                made, single = signature(found, table, frequent, percent) if len(found) else (found, True)
+                made, single = signature(found, table, frequent, percent) if len(found) else (found, 0)
                 keys.append(made.view(np.int64))
-                plain.append(single)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(plain)], names=["doc_id", "n", "print", "keys", "plain"])
+                singles.append(single)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(singles, pa.int64())], names=["doc_id", "n", "print", "keys", "singles"])
 
-    return texts.mapInArrow(sign, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n long, print binary, keys array<long>, plain boolean")
+    return texts.mapInArrow(sign, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, n long, print binary, keys array<long>, singles long")
 
 
 def _sets(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -180,10 +183,10 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     are no more of them than the set's size less the overlap that the pair needs. Which one ends earlier isn't known
     here, so a pair goes if this fails for both. Sets with pairs of shingles in their prefixes are passed on.
     """
-    sides = [classes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.when(F.col("plain"), F.col("keys")).alias(f"p{k}")) for k in "ab"]
+    sides = [classes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.when(F.col("singles") == F.size("keys"), F.col("keys")).alias(f"p{k}")) for k in "ab"]
     rows = pairs.join(sides[0], "a").join(sides[1], "b")
     both = F.size(F.array_intersect("pa", "pb"))
-    needed = F.ceil(percent * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
+    needed = _needed("na", "nb", percent)
     fits = (F.size("pa") - both <= F.col("na") - needed) | (F.size("pb") - both <= F.col("nb") - needed)
     return rows.where(F.col("pa").isNull() | F.col("pb").isNull() | fits).select("a", "b")
 
@@ -200,8 +203,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int
     return found
 
 
-def _sizes_fit(percent: int):
-    return F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+def _needed(n: str, m: str, percent: int):
+    """Column: how many shingles sets of these sizes share at least if they link."""
+    return F.expr(f"({percent} * ({n} + {m}) + {99 + percent}) div {100 + percent}")
+
+
+def _may_link(percent: int):
+    """Columns n, u, plain and m, v, smooth of two sets: their sizes, how many single keys of each nobody else has, and
+    whether single keys are all that each has.
+
+    Of the prefix that ends earlier, a key that no other prefix has is a shingle that the other set doesn't have. A prefix
+    with pairs of frequent shingles ends later than any rare shingle, so all unique keys of the other set count.
+    """
+    needed = _needed("n", "m", percent)
+    one, other = F.col("u") <= F.col("n") - needed, F.col("v") <= F.col("m") - needed
+    return (F.least("n", "m") * 100 >= F.greatest("n", "m") * percent) & (one | other) & (F.col("smooth") | one) & (F.col("plain") | other)
 
 
 def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,23 +225,32 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     logs, frequent = rarity(texts, words)
     rows = materialize(_signed(texts, logs, frequent, words, percent), "signed")
-    classes = rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("keys").alias("keys"), F.first("plain").alias("plain"))
+    classes = rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("keys").alias("keys"), F.first("singles").alias("singles"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    entries = classes.select("node", "n", F.explode("keys").alias("key"))
-    firsts = entries.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
-    shared = materialize(entries.join(firsts, "key").select("key", "node", "n", F.col("first.node").alias("other"), F.col("first.n").alias("m")), "shared")
-    pairs = materialize(shared.where((F.col("node") != F.col("other")) & _sizes_fit(percent)).select(F.col("other").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    entries = classes.select("node", "singles", F.posexplode("keys").alias("at", "key")).select("key", "node", (F.col("at") < F.col("singles")).alias("single"))
+    common = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    shared = materialize(entries.join(common, "key"), "shared")
+    own = shared.where("single").groupBy("node").agg(F.count("*").alias("found"))
+    lone = classes.select("node", "n", "singles", (F.col("singles") == F.size("keys")).alias("plain")).join(own, "node", "left")
+    lone = materialize(lone.select("node", "n", (F.col("singles") - F.coalesce("found", F.lit(0))).alias("u"), "plain"), "sizes")
+    other = lone.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("plain").alias("smooth"))
+    known = materialize(shared.join(lone, "node").select("key", "node", "n", "u", "plain"), "known")
+    discard(shared)
+    # the class that has least of its own, such as the text that near copies were made from, stands for its key
+    hubs = known.groupBy("key").agg(F.min(F.struct("u", "node")).alias("hub")).select("key", F.col("hub.node").alias("a"))
+    first_pairs = known.join(hubs, "key").where("node <> a").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
+    first_pairs = first_pairs.join(lone.withColumnRenamed("node", "b"), "b").join(other, "a")
+    pairs = materialize(first_pairs.where(_may_link(percent)).select("a", "b"), "pairs")
     links = _verified(materialize(_plausible(pairs, classes, percent), "pairs"), texts, classes, words, percent)
     found = connected_components(links)
 
     # what is left: keys whose classes are in different components
-    placed = shared.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    placed = materialize(placed, "placed")
+    placed = materialize(known.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     open_rows = materialize(placed.join(mixed_keys, "key", "left_semi"), "open")
-    left = open_rows.select("key", F.col("node").alias("a"), F.col("n"), F.col("c").alias("ca"))
-    right = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("c").alias("cb"))
-    more = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit(percent)).select("a", "b").distinct()
+    left = open_rows.select("key", F.col("node").alias("a"), "n", "u", "plain", F.col("c").alias("ca"))
+    right = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("plain").alias("smooth"), F.col("c").alias("cb"))
+    more = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(percent)).select("a", "b").distinct()
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         further = _verified(materialize(_plausible(more, classes, percent), "pairs"), texts, classes, words, percent)
