@@ -1,10 +1,11 @@
 """The queries of the training-data operators, and SQL for those that SQL can express."""
 
-from . import chat, decontaminate, jaccard_join, language_id, packing, pfor, quality_classifier, quality_rules, toxicity
+from . import chat, decontaminate, jaccard_join, language_id, line_dedup, packing, pfor, quality_classifier, quality_rules, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op6_language_id": language_id.op6_language_id,
