@@ -227,14 +227,14 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rows = materialize(_signed(texts, logs, frequent, words, percent), "signed")
     classes = rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("keys").alias("keys"), F.first("singles").alias("singles"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    entries = classes.select("node", "singles", F.posexplode("keys").alias("at", "key")).select("key", "node", (F.col("at") < F.col("singles")).alias("single"))
+    entries = classes.select("node", "singles", F.posexplode("keys").alias("at", "key")).select("key", "node", (F.col("at") < F.col("singles")).alias("single"), F.least("at", F.col("singles").cast("int")).alias("at"))
     common = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     shared = materialize(entries.join(common, "key"), "shared")
     own = shared.where("single").groupBy("node").agg(F.count("*").alias("found"))
     lone = classes.select("node", "n", "singles", (F.col("singles") == F.size("keys")).alias("plain")).join(own, "node", "left")
     lone = materialize(lone.select("node", "n", (F.col("singles") - F.coalesce("found", F.lit(0))).alias("u"), "plain"), "sizes")
     other = lone.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("plain").alias("smooth"))
-    known = materialize(shared.join(lone, "node").select("key", "node", "n", "u", "plain"), "known")
+    known = materialize(shared.join(lone, "node").select("key", "node", "at", "n", "u", "plain"), "known")
     discard(shared)
     # the class that has least of its own, such as the text that near copies were made from, stands for its key
     hubs = known.groupBy("key").agg(F.min(F.struct("u", "node")).alias("hub")).select("key", F.col("hub.node").alias("a"))
@@ -248,9 +248,12 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     placed = materialize(known.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "placed")
     mixed_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
     open_rows = materialize(placed.join(mixed_keys, "key", "left_semi"), "open")
-    left = open_rows.select("key", F.col("node").alias("a"), "n", "u", "plain", F.col("c").alias("ca"))
-    right = open_rows.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("plain").alias("smooth"), F.col("c").alias("cb"))
-    more = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _may_link(percent)).select("a", "b").distinct()
+    left = open_rows.select("key", F.col("node").alias("a"), "at", "n", "u", "plain", F.col("c").alias("ca"))
+    right = open_rows.select("key", F.col("node").alias("b"), F.col("at").alias("to"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("plain").alias("smooth"), F.col("c").alias("cb"))
+    # a pair is made at its first common single key, or at a pair of frequent shingles if it has no common single key:
+    # all before that isn't shared
+    ahead = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) >= _needed("n", "m", percent)
+    more = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ahead & _may_link(percent)).select("a", "b").distinct()
     more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
         further = _verified(materialize(_plausible(more, classes, percent), "pairs"), texts, classes, words, percent)
