@@ -134,9 +134,11 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = materialize(held.where(_may_match(percent, "x", "y")).select("early", "late").distinct(), "pairs")
     settled = _verified(docs, classes, pairs, percent)
 
-    open_rows = _rows(classes.join(settled, "id", "left_anti"))
-    sides = [rows.select("key", *(F.col(c).alias(f"{s}{c}") for c in ("id", "n", "rk", "b1", "b2"))) for s, rows in (("x", open_rows), ("y", _rows(classes)))]
-    more = sides[0].join(sides[1], "key").where((F.col("yid") < F.col("xid")) & _may_match(percent, "x", "y")).select(F.col("yid").alias("early"), F.col("xid").alias("late")).distinct()
+    flagged = classes.join(settled.withColumn("done", F.lit(True)), "id", "left").withColumn("open", F.col("done").isNull())
+    rows = flagged.select("open", "id", "n", "b1", "b2", F.posexplode("sig").alias("rk", "key")).repartition("key")  # written once, read as both sides
+    sides = [rows.select("key", "open", *(F.col(c).alias(f"{s}{c}") for c in ("id", "n", "rk", "b1", "b2"))) for s in "xy"]
+    sides[0] = sides[0].where("open")
+    more = sides[0].drop("open").join(sides[1].drop("open"), "key").where((F.col("yid") < F.col("xid")) & _may_match(percent, "x", "y")).select(F.col("yid").alias("early"), F.col("xid").alias("late")).distinct()
     more = materialize(more.join(pairs, ["early", "late"], "left_anti"), "pairs")
     gone = settled if more.isEmpty() else settled.union(_verified(docs, classes, more, percent))
 
