@@ -1,14 +1,15 @@
-"""Line dedup: exact set-similarity join of lines. DataFrame functions only.
+"""Line dedup: exact set-similarity join of lines. Words are hashed in Arrow batches, all else is DataFrame functions.
 
 A line (text between newlines) is the set of its distinct words, runs of characters other than ASCII white space. Lines
 are ordered by document id, text hash and line number. A line goes if any earlier line has a Jaccard similarity of
 ``PERCENT`` / 100 or more to it, whether or not that one goes itself; lines without words stay as they are.
 
-1. *Rarity.* Words are counted over all lines in ``BUCKETS`` hash buckets; three times the binary logarithm of a bucket's
-   count is one character of a string of fixed size that later plans hold as a literal. Words are ordered by
-   that and by their hash; a word's 64-bit key is the rarity in its top byte and 56 bits of its hash.
-2. *Classes.* Equal sets are one class, at the first position; later lines of a class go. A class keeps its size, the
-   prefix of its ordered keys and a parity bitmap of 128 bits of all its keys.
+1. *Rarity.* Words are counted over all lines in ``BUCKETS`` hash buckets; four times the binary logarithm of a bucket's
+   count is one byte of a table of fixed size, which is broadcast. Words are ordered by that and by their hash; a word's
+   64-bit key is the rarity in its top byte and 56 bits of its hash.
+2. *Classes.* Equal sets (two 64-bit sums over mixed keys, and the size) are one class, at the first position; later lines
+   of a class go. A class keeps its size, the prefix of its ordered keys and a parity bitmap of 128 bits of all its keys.
+   A task hashes ``_BYTES`` of text at a time, and a line that is longer alone.
 3. *Prefix, length and positional filters.* Sets x and y, |x| >= |y|, that match share ceil(t/(1+t) (|x|+|y|)) words or
    more; so their rarest common word is among the first |x| - ceil(t|x|) + 1 of x and the first
    |y| - ceil(2t/(1+t) |y|) + 1 of y, |y| >= t|x|, and at their places enough words are left. The bitmaps bound the
@@ -25,72 +26,165 @@ line. Other columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CLASS, discard, load, materialize
+from .linear import mixed
+from .shared import count_array, discard, load, materialize, release, utf8
 
 PERCENT = 80
 BUCKETS = 1 << 20
-#: Characters of the rarity string that one group of the building aggregation holds.
-_PART = 1 << 10
-_LOW = (1 << 56) - 1
-
+#: Bytes of whole lines that are hashed at once; a longer line is hashed alone.
+_BYTES = 1 << 20
+#: A character of a word.
+_WORD = "[^\\x20\\x09-\\x0D]"
+_LOW = np.uint64((1 << 56) - 1)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: The word hash is a polynomial in this odd number, so it has an inverse modulo 2 ** 64.
+_BASE = 0x9E3779B97F4A7C15
+
+
+class Hasher:
+    """Hashes all words of a chunk of text at once, from running sums over its bytes."""
+
+    def __init__(self) -> None:
+        self.value = mixed(np.arange(256, dtype=np.uint64), salt=11)
+        self._grow(_BYTES + (_BYTES >> 2))
+
+    def _grow(self, size: int) -> None:
+        self.up, self.down = (np.full(size, x, np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        for powers in (self.up, self.down):
+            powers[0] = 1
+            np.multiply.accumulate(powers, out=powers)
+
+    def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words start, and their hashes."""
+        octets = np.frombuffer(data, np.uint8)
+        edges = np.diff(np.concatenate([[False], ~_SPACE[octets], [False]]).astype(np.int8))
+        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        if len(octets) > len(self.up):
+            self._grow(len(octets))
+        sums = np.zeros(len(octets) + 1, np.uint64)
+        np.cumsum(self.value[octets] * self.up[: len(octets)], out=sums[1:])
+        found = (sums[ends] - sums[starts]) * self.down[starts]
+        if len(self.up) > 4 * _BYTES:
+            self._grow(_BYTES + (_BYTES >> 2))
+        return starts, mixed(found, (ends - starts).astype(np.uint64), salt=12)
+
+
+def chunks(texts: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, int, int]]]]:
+    """Chunks of whole lines, and their parts: the text's number, its first line here, that line's number in the text."""
+    parts: list[bytes] = []
+    held: list[tuple[int, int, int]] = []
+    size = lines = 0
+    for i, text in enumerate(texts):
+        at = first = 0
+        while at >= 0:
+            end = text.find(b"\n", at + _BYTES) if len(text) - at > _BYTES else -1
+            part = text[at:end] if end >= 0 else text[at:] if at else text
+            at = end + 1 if end >= 0 else -1
+            parts.append(part)
+            held.append((i, lines, first))
+            here = part.count(b"\n") + 1
+            lines, first, size = lines + here, first + here, size + len(part) + 1
+            if size > _BYTES:
+                yield b"\n".join(parts), held
+                parts, held, size, lines = [], [], 0, 0
+    if parts:
+        yield b"\n".join(parts), held
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
+
+
+def rarity(docs: DataFrame) -> np.ndarray:
+    """For each bucket, four times the binary logarithm of its count, as one byte."""
+
+    def counter():
+        hasher = Hasher()
+
+        def add(batch: pa.RecordBatch, counts: np.ndarray) -> None:
+            for data, _ in chunks(utf8(batch.column(0))):
+                np.add.at(counts, _bucket(hasher(data)[1]), 1)
+
+        return add
+
+    counts = count_array(docs.where(F.col("text").isNotNull()).select("text"), counter, BUCKETS)
+    return np.minimum(255, 4 * np.log2(counts + 1.0)).astype(np.uint8)
+
+
+def _ordered(line: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order by line and key. One integer of the line and the key's upper bits is sorted; ties of it are seen to."""
+    bits = max(1, int(line[-1]).bit_length())
+    short = (line.astype(np.uint64) << np.uint64(64 - bits)) | (key >> np.uint64(bits))
+    order = np.argsort(short)
+    short, put = short[order], key[order]
+    return np.lexsort((key, line)) if ((short[1:] == short[:-1]) & (put[1:] != put[:-1])).any() else order
+
+
+def _signed(line: np.ndarray, h: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """The lines with words, and ``n, h1, h2, b1, b2, sig`` of each; given the line and the hash of each word."""
+    key = (table[_bucket(h)].astype(np.uint64) << np.uint64(56)) | (h & _LOW)
+    key = key[_ordered(line, key)]  # the lines ascend before and after
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+    key, line = key[new], line[new]
+    start = np.flatnonzero(np.diff(line, prepend=-1))
+    n = np.diff(start, append=len(line))
+    prefix = n + percent * n // -100 + 1
+    sig = key[np.arange(len(key)) - np.repeat(start, n) < np.repeat(prefix, n)]
+    bit = np.uint64(1) << ((key >> np.uint64(20)) & np.uint64(63))
+    high = ((key >> np.uint64(26)) & np.uint64(1)).astype(bool)
+    sums = [np.add.reduceat(mixed(key, salt=salt), start) for salt in (1, 2)]
+    bits = [np.bitwise_xor.reduceat(np.where(of, bit, np.uint64(0)), start) for of in (~high, high)]
+    offsets = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
+    return line[start], [pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in sums + bits), pa.ListArray.from_arrays(offsets, pa.array(sig.view(np.int64)))]
+
+
+def classes_of(docs: DataFrame, table: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """``id, known, doc_id, th, pos, n, sig, b1, b2`` of each class; ids ascend with the first positions."""
+    sent = docs.sparkSession.sparkContext.broadcast(table)  # BUCKETS bytes
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, rare = Hasher(), sent.value
+        for batch in batches:
+            for data, parts in chunks(utf8(batch.column(2))):
+                starts, h = hasher(data)
+                if not len(h):
+                    continue
+                line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), starts)
+                line, columns = _signed(line, h, rare, percent)
+                text, begins, first = np.array(parts).T
+                part = np.searchsorted(begins, line, "right") - 1
+                at = pa.array(text[part])
+                pos = (line - begins[part] + first[part]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos), *columns], names=["doc_id", "th", "pos", "n", "h1", "h2", "b1", "b2", "sig"])
 
-def _word_hashes(line):
-    """Distinct word hashes of a line; the empty string that a split may leave at the ends is no word."""
-    every = F.transform(F.split(line, SPACE_CLASS), lambda w: F.xxhash64(w))
-    return F.array_distinct(F.array_remove(every, F.xxhash64(F.lit(""))))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    lines = texts.mapInArrow(sign, f"doc_id {kind}, th long, pos int, n int, h1 long, h2 long, b1 long, b2 long, sig array<long>")
+    rows = lines.select(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "pos").alias("at"), "n", "h1", "h2", "b1", "b2", "sig")
+    first = rows.groupBy("h1", "h2", "n", "b1", "b2").agg(F.min("at").alias("at"), F.first("sig").alias("sig"))
+    flat = first.select("at.known", "at.doc_id", "at.th", "at.pos", "n", "sig", "b1", "b2")
+    ordered = flat.repartitionByRange("known", "doc_id", "th", "pos").sortWithinPartitions("known", "doc_id", "th", "pos")
+    return materialize(ordered.withColumn("id", F.monotonically_increasing_id()), "classes")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, th, pos, line``: the lines of the distinct documents."""
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.where(F.length("line") > 0)
+def _word_sets(lines: DataFrame) -> DataFrame:
+    """``id, words`` (distinct hashes) of rows ``id, line``."""
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            words = [np.unique(hasher(x)[1]).view(np.int64) for x in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], names=["id", "words"])
 
-def rarity(docs: DataFrame):
-    """Column: the rarity string, BUCKETS characters from code 1 on, as a literal."""
-    spark = docs.sparkSession
-    words = docs.where(F.col("text").isNotNull()).select(F.explode(F.split("text", SPACE_CLASS)).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).count()
-    every = counts.unionByName(spark.range(BUCKETS).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("count"))).groupBy("b").agg(F.sum("count").alias("n"))
-    code = F.char(F.least(F.lit(126), F.floor(F.log2(F.col("n") + 1) * 3)).cast("int") + 1)
-    parts = every.groupBy(F.floor(F.col("b") / F.lit(_PART)).alias("part")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", code.alias("c")))), lambda x: x["c"]), "").alias("s"))
-    whole = parts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "s"))), lambda x: x["s"]), "").cast("binary").alias("s"))
-    return F.lit(bytes(whole.first().s))  # BUCKETS bytes, whatever the input
-
-
-def _keys(hashes, table):
-    """Sorted keys: rarity in the top byte, then the hash."""
-
-    def key(h):
-        rare = F.ascii(F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, 1).cast("string"))
-        return F.shiftleft(rare.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
-
-    return F.sort_array(F.transform(hashes, key))
-
-
-def _ceil(percent: int, n, by: int = 100):
-    return F.expr(f"({percent} * ({n}) + {by - 1}) div {by}")
-
-
-def classes_of(docs: DataFrame, table, percent: int = PERCENT) -> DataFrame:
-    """``id, doc_id, th, pos, n, sig, b1, b2`` of each class; ids ascend with the first positions."""
-    keys = _lines(docs).select("doc_id", "th", "pos", _keys(_word_hashes(F.col("line")), table).alias("k")).where(F.size("k") > 0)
-    rows = keys.select(
-        F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "pos").alias("at"),
-        F.size("k").alias("n"),
-        F.xxhash64("k").alias("h1"),
-        F.xxhash64(F.lit(7), "k").alias("h2"),
-        F.slice("k", 1, F.size("k") - _ceil(percent, "size(k)").cast("int") + 1).alias("sig"),
-        F.expr("aggregate(k, 0L, (m, x) -> m ^ shiftleft(1L, cast(shiftright(x, 20) & 63 AS int)))").alias("b1"),
-        F.expr("aggregate(k, 0L, (m, x) -> m ^ shiftleft(shiftright(x, 26) & 1L, cast(shiftright(x, 20) & 63 AS int)))").alias("b2"),
-    )
-    first = rows.groupBy("h1", "h2", "n").agg(F.min("at").alias("at"), F.first("sig").alias("sig"), F.first("b1").alias("b1"), F.first("b2").alias("b2"))
-    flat = first.select("at.known", "at.doc_id", "at.th", "at.pos", "n", "sig", F.col("b1").bitwiseXOR(F.col("b2")).alias("b1"), "b2")
-    ordered = flat.repartitionByRange("known", "doc_id", "th", "pos").sortWithinPartitions("known", "doc_id", "th", "pos")
-    return materialize(ordered.withColumn("id", F.monotonically_increasing_id()), "classes")
+    return lines.select("id", "line").mapInArrow(make, "id long, words array<long>")
 
 
 def _rows(classes: DataFrame) -> DataFrame:
@@ -114,7 +208,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     asked = places.withColumnsRenamed({"doc_id": "asked_doc", "th": "asked_th"})
     found = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_doc")) & (F.col("th") == F.col("asked_th")))
     lines = found.select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("a")).select(F.col("a.id").alias("id"), F.element_at("lines", F.col("a.pos") + 1).alias("line"))
-    sets = materialize(lines.groupBy("id").agg(F.first("line").alias("line")).select("id", _word_hashes(F.col("line")).alias("words")), "sets")
+    sets = materialize(_word_sets(lines.groupBy("id").agg(F.first("line").alias("line"))), "sets")
     rows = pairs.join(sets.select(F.col("id").alias("early"), F.col("words").alias("x")), "early").join(sets.select(F.col("id").alias("late"), F.col("words").alias("y")), "late")
     shared = F.size(F.array_intersect("x", "y"))
     out = materialize(rows.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select(F.col("late").alias("id")).distinct(), "matched")
@@ -122,26 +216,41 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     return out
 
 
-def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, th, kept``: the numbers (from 0) of the lines with words that stay, by document (id and text hash)."""
-    table = rarity(docs)
-    classes = classes_of(docs, table, percent)
-
+def _first_round(classes: DataFrame, percent: int) -> DataFrame:
+    """``early, late``: each class with the earliest of each of its words, where they may match."""
     by_key = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     leader = F.first(F.struct("id", "n", "rk", "b1", "b2")).over(by_key)
     held = _rows(classes).withColumn("e", leader).where(F.col("id") > F.col("e.id"))
     held = held.select(F.col("id").alias("late"), F.col("e.id").alias("early"), *(F.col(c).alias(f"x{c}") for c in ("n", "rk", "b1", "b2")), *(F.col(f"e.{c}").alias(f"y{c}") for c in ("n", "rk", "b1", "b2")))
-    pairs = materialize(held.where(_may_match(percent, "x", "y")).select("early", "late").distinct(), "pairs")
-    settled = _verified(docs, classes, pairs, percent)
+    return materialize(held.where(_may_match(percent, "x", "y")).select("early", "late").distinct(), "pairs")
+
 
+def _second_round(classes: DataFrame, settled: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """``early, late``: each open class with all earlier ones of its words that it may match, but for ``pairs``."""
     flagged = classes.join(settled.withColumn("done", F.lit(True)), "id", "left").withColumn("open", F.col("done").isNull())
     rows = flagged.select("open", "id", "n", "b1", "b2", F.posexplode("sig").alias("rk", "key")).repartition("key")  # written once, read as both sides
     sides = [rows.select("key", "open", *(F.col(c).alias(f"{s}{c}") for c in ("id", "n", "rk", "b1", "b2"))) for s in "xy"]
     sides[0] = sides[0].where("open")
     more = sides[0].drop("open").join(sides[1].drop("open"), "key").where((F.col("yid") < F.col("xid")) & _may_match(percent, "x", "y")).select(F.col("yid").alias("early"), F.col("xid").alias("late")).distinct()
-    more = materialize(more.join(pairs, ["early", "late"], "left_anti"), "pairs")
-    gone = settled if more.isEmpty() else settled.union(_verified(docs, classes, more, percent))
+    return materialize(more.join(pairs, ["early", "late"], "left_anti"), "pairs")
 
+
+def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, th, kept``: the numbers (from 0) of the lines with words that stay, by document (id and text hash).
+
+    Each step is a function, so that its plans are gone, and their shuffle files can go, when the next one begins.
+    """
+    spark = docs.sparkSession
+    classes = classes_of(docs, rarity(docs), percent)
+    release(spark)
+    pairs = _first_round(classes, percent)
+    release(spark)
+    settled = _verified(docs, classes, pairs, percent)
+    release(spark)
+    more = _second_round(classes, settled, pairs, percent)
+    release(spark)
+    gone = settled if more.isEmpty() else settled.union(_verified(docs, classes, more, percent))
+    release(spark)
     stays = classes.join(gone, "id", "left_anti").select("doc_id", "th", "pos")
     return stays.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("kept"))
 
@@ -151,7 +260,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kept = kept_lines(docs, percent).withColumnsRenamed({"doc_id": "_doc", "th": "_th", "kept": "_kept"})
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th")), "left")
     rows = rows.withColumn("_lines", F.split("text", "\n"))
-    wordless = F.filter(F.transform("_lines", lambda line, i: F.when(F.length(F.regexp_replace(line, SPACE_CLASS, "")) == 0, i)), lambda i: i.isNotNull())
+    wordless = F.filter(F.transform("_lines", lambda line, i: F.when(~line.rlike(_WORD), i)), lambda i: i.isNotNull())
     numbers = F.sort_array(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), wordless))
     text = F.array_join(F.transform(numbers, lambda i: F.element_at("_lines", i + 1)), "\n")
     return rows.select(*(F.when(F.col("text").isNotNull(), text).alias("text") if c == "text" else F.col(c) for c in docs.columns))
