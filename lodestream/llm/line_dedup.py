@@ -242,15 +242,15 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     spark = docs.sparkSession
     classes = classes_of(docs, rarity(docs), percent)
-    release(spark)
+    release(spark, wait=True)
     pairs = _first_round(classes, percent)
-    release(spark)
+    release(spark, wait=True)
     settled = _verified(docs, classes, pairs, percent)
-    release(spark)
+    release(spark, wait=True)
     more = _second_round(classes, settled, pairs, percent)
-    release(spark)
+    release(spark, wait=True)
     gone = settled if more.isEmpty() else settled.union(_verified(docs, classes, more, percent))
-    release(spark)
+    release(spark, wait=True)
     stays = classes.join(gone, "id", "left_anti").select("doc_id", "th", "pos")
     return stays.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("kept"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -43,9 +44,14 @@ def materialize(df: DataFrame, name: str, row_group: int = 32 << 20) -> DataFram
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so after a driver GC."""
+def release(spark: SparkSession, wait: bool = False) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so after a driver GC.
+
+    The driver's JVM hears from a background thread, once a second, of plans that Python let go; ``wait`` waits for it.
+    """
     gc.collect()
+    if wait:
+        time.sleep(1.5)
     spark._jvm.System.gc()
 
 
