@@ -8,7 +8,7 @@ are ordered by document id, text hash and line number. A line goes if any earlie
    count is one byte of a table of fixed size, which is broadcast. Words are ordered by that and by their hash; a word's
    64-bit key is the rarity in its top byte and 56 bits of its hash.
 2. *Classes.* Equal sets (two 64-bit sums over mixed keys, and the size) are one class, at the first position; later lines
-   of a class go. A class keeps its size, the prefix of its ordered keys and a parity bitmap of 128 bits of all its keys.
+   of a class go. A class keeps its size, the prefix of its ordered keys and a parity bitmap of 64 bits of all its keys.
    A task hashes ``_BYTES`` of text at a time, and a line that is longer alone.
 3. *Prefix, length and positional filters.* Sets x and y, |x| >= |y|, that match share ceil(t/(1+t) (|x|+|y|)) words or
    more; so their rarest common word is among the first |x| - ceil(t|x|) + 1 of x and the first
@@ -128,7 +128,7 @@ def _ordered(line: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _signed(line: np.ndarray, h: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, list[pa.Array]]:
-    """The lines with words, and ``n, h1, h2, b1, b2, sig`` of each; given the line and the hash of each word."""
+    """The lines with words, and ``n, h1, h2, bits, sig`` of each; given the line and the hash of each word."""
     key = (table[_bucket(h)].astype(np.uint64) << np.uint64(56)) | (h & _LOW)
     key = key[_ordered(line, key)]  # the lines ascend before and after
     new = np.ones(len(key), bool)
@@ -139,15 +139,14 @@ def _signed(line: np.ndarray, h: np.ndarray, table: np.ndarray, percent: int) ->
     prefix = n + percent * n // -100 + 1
     sig = key[np.arange(len(key)) - np.repeat(start, n) < np.repeat(prefix, n)]
     bit = np.uint64(1) << ((key >> np.uint64(20)) & np.uint64(63))
-    high = ((key >> np.uint64(26)) & np.uint64(1)).astype(bool)
     sums = [np.add.reduceat(mixed(key, salt=salt), start) for salt in (1, 2)]
-    bits = [np.bitwise_xor.reduceat(np.where(of, bit, np.uint64(0)), start) for of in (~high, high)]
+    bits = np.bitwise_xor.reduceat(bit, start)
     offsets = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
-    return line[start], [pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in sums + bits), pa.ListArray.from_arrays(offsets, pa.array(sig.view(np.int64)))]
+    return line[start], [pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (*sums, bits)), pa.ListArray.from_arrays(offsets, pa.array(sig.view(np.int64)))]
 
 
 def classes_of(docs: DataFrame, table: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """``id, known, doc_id, th, pos, n, sig, b1, b2`` of each class; ids ascend with the first positions."""
+    """``id, known, doc_id, th, pos, n, sig, bits`` of each class; ids ascend with the first positions."""
     sent = docs.sparkSession.sparkContext.broadcast(table)  # BUCKETS bytes
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +162,14 @@ def classes_of(docs: DataFrame, table: np.ndarray, percent: int = PERCENT) -> Da
                 part = np.searchsorted(begins, line, "right") - 1
                 at = pa.array(text[part])
                 pos = (line - begins[part] + first[part]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos), *columns], names=["doc_id", "th", "pos", "n", "h1", "h2", "b1", "b2", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos), *columns], names=["doc_id", "th", "pos", "n", "h1", "h2", "bits", "sig"])
 
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = texts.mapInArrow(sign, f"doc_id {kind}, th long, pos int, n int, h1 long, h2 long, b1 long, b2 long, sig array<long>")
-    rows = lines.select(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "pos").alias("at"), "n", "h1", "h2", "b1", "b2", "sig")
-    first = rows.groupBy("h1", "h2", "n", "b1", "b2").agg(F.min("at").alias("at"), F.first("sig").alias("sig"))
-    flat = first.select("at.known", "at.doc_id", "at.th", "at.pos", "n", "sig", "b1", "b2")
+    lines = texts.mapInArrow(sign, f"doc_id {kind}, th long, pos int, n int, h1 long, h2 long, bits long, sig array<long>")
+    rows = lines.select(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "pos").alias("at"), "n", "h1", "h2", "bits", "sig")
+    first = rows.groupBy("h1", "h2", "n", "bits").agg(F.min("at").alias("at"), F.first("sig").alias("sig"))
+    flat = first.select("at.known", "at.doc_id", "at.th", "at.pos", "n", "sig", "bits")
     ordered = flat.repartitionByRange("known", "doc_id", "th", "pos").sortWithinPartitions("known", "doc_id", "th", "pos")
     return materialize(ordered.withColumn("id", F.monotonically_increasing_id()), "classes")
 
@@ -187,17 +186,18 @@ def _word_sets(lines: DataFrame) -> DataFrame:
     return lines.select("id", "line").mapInArrow(make, "id long, words array<long>")
 
 
-def _rows(classes: DataFrame) -> DataFrame:
-    return classes.select("id", "n", "b1", "b2", F.posexplode("sig").alias("rk", "key"))
+def _rows(classes: DataFrame, *others: str) -> DataFrame:
+    """``key, id, at, bits`` of the index: ``at`` is the size in the upper half and the key's place in the lower."""
+    rows = classes.select(*others, "id", "n", "bits", F.posexplode("sig").alias("rk", "key"))
+    return rows.select("key", *others, "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("rk").cast("long")).alias("at"), "bits")
 
 
 def _may_match(percent: int, x: str, y: str):
     """x and y: prefixes of the columns of two rows of one key. Length, prefix, positional and bitmap filters."""
-    big, small = F.greatest(f"{x}n", f"{y}n"), F.least(f"{x}n", f"{y}n")
-    needed = F.expr(f"({percent} * ({x}n + {y}n) + {99 + percent}) div {100 + percent}")
-    left = F.least(F.col(f"{x}n") - F.col(f"{x}rk"), F.col(f"{y}n") - F.col(f"{y}rk"))
-    differ = F.bit_count(F.col(f"{x}b1").bitwiseXOR(F.col(f"{y}b1"))) + F.bit_count(F.col(f"{x}b2").bitwiseXOR(F.col(f"{y}b2")))
-    return (small * 100 >= big * percent) & (left >= needed) & (F.col(f"{x}n") + F.col(f"{y}n") - differ >= 2 * needed)
+    (xn, xrk), (yn, yrk) = ((F.shiftright(f"{c}at", 32), F.col(f"{c}at").bitwiseAND(F.lit(0xFFFFFFFF))) for c in (x, y))
+    needed = F.floor(((xn + yn) * percent + 99 + percent) / (100 + percent))
+    differ = F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits")))
+    return (F.least(xn, yn) * 100 >= F.greatest(xn, yn) * percent) & (F.least(xn - xrk, yn - yrk) >= needed) & (xn + yn - differ >= needed * 2)
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -219,19 +219,24 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
 def _first_round(classes: DataFrame, percent: int) -> DataFrame:
     """``early, late``: each class with the earliest of each of its words, where they may match."""
     by_key = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    leader = F.first(F.struct("id", "n", "rk", "b1", "b2")).over(by_key)
+    leader = F.first(F.struct("id", "at", "bits")).over(by_key)
     held = _rows(classes).withColumn("e", leader).where(F.col("id") > F.col("e.id"))
-    held = held.select(F.col("id").alias("late"), F.col("e.id").alias("early"), *(F.col(c).alias(f"x{c}") for c in ("n", "rk", "b1", "b2")), *(F.col(f"e.{c}").alias(f"y{c}") for c in ("n", "rk", "b1", "b2")))
+    held = held.select(F.col("id").alias("late"), F.col("e.id").alias("early"), *(F.col(c).alias(f"x{c}") for c in ("at", "bits")), *(F.col(f"e.{c}").alias(f"y{c}") for c in ("at", "bits")))
     return materialize(held.where(_may_match(percent, "x", "y")).select("early", "late").distinct(), "pairs")
 
 
-def _second_round(classes: DataFrame, settled: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _flagged(classes: DataFrame, settled: DataFrame) -> DataFrame:
+    """The classes and whether they are ``open``, written: the index is shuffled when this join's files are gone."""
+    flagged = materialize(classes.join(settled.withColumn("done", F.lit(True)), "id", "left").withColumn("open", F.col("done").isNull()).drop("done"), "classes")
+    discard(classes)
+    return flagged
+
+
+def _second_round(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``early, late``: each open class with all earlier ones of its words that it may match, but for ``pairs``."""
-    flagged = classes.join(settled.withColumn("done", F.lit(True)), "id", "left").withColumn("open", F.col("done").isNull())
-    rows = flagged.select("open", "id", "n", "b1", "b2", F.posexplode("sig").alias("rk", "key")).repartition("key")  # written once, read as both sides
-    sides = [rows.select("key", "open", *(F.col(c).alias(f"{s}{c}") for c in ("id", "n", "rk", "b1", "b2"))) for s in "xy"]
-    sides[0] = sides[0].where("open")
-    more = sides[0].drop("open").join(sides[1].drop("open"), "key").where((F.col("yid") < F.col("xid")) & _may_match(percent, "x", "y")).select(F.col("yid").alias("early"), F.col("xid").alias("late")).distinct()
+    rows = _rows(classes, "open").repartition("key")  # written once, read as both sides
+    x, y = (rows.select("key", "open", *(F.col(c).alias(f"{s}{c}") for c in ("id", "at", "bits"))) for s in "xy")
+    more = x.where("open").drop("open").join(y.drop("open"), "key").where((F.col("yid") < F.col("xid")) & _may_match(percent, "x", "y")).select(F.col("yid").alias("early"), F.col("xid").alias("late")).distinct()
     return materialize(more.join(pairs, ["early", "late"], "left_anti"), "pairs")
 
 
@@ -247,7 +252,9 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     release(spark, wait=True)
     settled = _verified(docs, classes, pairs, percent)
     release(spark, wait=True)
-    more = _second_round(classes, settled, pairs, percent)
+    classes = _flagged(classes, settled)
+    release(spark, wait=True)
+    more = _second_round(classes, pairs, percent)
     release(spark, wait=True)
     gone = settled if more.isEmpty() else settled.union(_verified(docs, classes, more, percent))
     release(spark, wait=True)
