@@ -17,7 +17,7 @@ are ordered by document id, text hash and line number. A line goes if any earlie
 4. *First round.* Each row of the index is held against the earliest class of its word only; so a group of any size
    costs as many pairs as it has rows. Classes that match an earlier one are settled: they go.
 5. *Second round.* Classes that aren't settled are joined with all earlier ones of their words.
-6. *Verification.* The whole sets of the pairs that are left are made from their texts and compared.
+6. *Verification.* The whole lines of the pairs that are left are fetched from their texts and their words compared.
 
 Defined results: a null text stays null. Repeated rows of one id and text are one document for this, and get the same
 text. Null ids come first. ``\r`` belongs to no word but to its line. A document of very many lines is handled line by
@@ -174,16 +174,15 @@ def classes_of(docs: DataFrame, table: np.ndarray, percent: int = PERCENT) -> Da
     return materialize(ordered.withColumn("id", F.monotonically_increasing_id()), "classes")
 
 
-def _word_sets(lines: DataFrame) -> DataFrame:
-    """``id, words`` (distinct hashes) of rows ``id, line``."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for batch in batches:
-            words = [np.unique(hasher(x)[1]).view(np.int64) for x in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64()))], names=["id", "words"])
-
-    return lines.select("id", "line").mapInArrow(make, "id long, words array<long>")
+def _matching(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """``late`` of the rows ``late, x, y`` whose lines match."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(utf8(batch.column(1)), utf8(batch.column(2)), strict=True):
+            a, b = set(x.split()), set(y.split())
+            shared = len(a & b)
+            keep.append(shared * 100 >= (len(a) + len(b) - shared) * percent)
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=["id"])
 
 
 def _rows(classes: DataFrame, *others: str) -> DataFrame:
@@ -208,11 +207,10 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     asked = places.withColumnsRenamed({"doc_id": "asked_doc", "th": "asked_th"})
     found = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_doc")) & (F.col("th") == F.col("asked_th")))
     lines = found.select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("a")).select(F.col("a.id").alias("id"), F.element_at("lines", F.col("a.pos") + 1).alias("line"))
-    sets = materialize(_word_sets(lines.groupBy("id").agg(F.first("line").alias("line"))), "sets")
-    rows = pairs.join(sets.select(F.col("id").alias("early"), F.col("words").alias("x")), "early").join(sets.select(F.col("id").alias("late"), F.col("words").alias("y")), "late")
-    shared = F.size(F.array_intersect("x", "y"))
-    out = materialize(rows.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select(F.col("late").alias("id")).distinct(), "matched")
-    discard(sets)
+    found = materialize(lines.groupBy("id").agg(F.first("line").alias("line")), "lines")
+    rows = pairs.join(found.select(F.col("id").alias("late"), F.col("line").alias("x")), "late").join(found.select(F.col("id").alias("early"), F.col("line").alias("y")), "early")
+    out = materialize(rows.select("late", "x", "y").mapInArrow(lambda batches: _matching(batches, percent), "id long").distinct(), "matched")
+    discard(found)
     return out
 
 
