@@ -160,6 +160,24 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+@pytest.mark.parametrize("size", [4, 50, 1 << 20])
+def test_line_chunks(monkeypatch, size):
+    """Every word is found at its text and line, with one hash a word, wherever chunks end."""
+    monkeypatch.setattr(line_dedup, "_BYTES", size)
+    texts = [(t or "").encode() for _, t, *_ in make()] + [b"a\nb", b"\n\n", b"", b" x\n" * 40]
+    hasher, got, known = line_dedup.Hasher(), [], {}
+    for data, parts in line_dedup.chunks(texts):
+        starts, hashes = hasher(data)
+        for start, h in zip(starts.tolist(), hashes.tolist(), strict=True):
+            line = data.count(b"\n", 0, start)
+            text, begin, first = [x for x in parts if x[1] <= line][-1]
+            word = data[start:].split(None, 1)[0]
+            got.append((text, line - begin + first, word))
+            assert known.setdefault(word, h) == h
+    assert got == [(i, p, w) for i, t in enumerate(texts) for p, line in enumerate(t.split(b"\n")) for w in line.split()]
+    assert len(set(known.values())) == len(known)
+
+
 def brute_groups(rows):
     sets = []
     for i, t, *_ in rows:
