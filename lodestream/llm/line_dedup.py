@@ -14,9 +14,10 @@ are ordered by document id, text hash and line number. A line goes if any earlie
    more; so their rarest common word is among the first |x| - ceil(t|x|) + 1 of x and the first
    |y| - ceil(2t/(1+t) |y|) + 1 of y, |y| >= t|x|, and at their places enough words are left. The bitmaps bound the
    overlap from above: for each bit that they differ in there is a word that isn't shared.
-4. *First round.* Each row of the index is held against the earliest class of its word only; so a group of any size
-   costs as many pairs as it has rows. Classes that match an earlier one are settled: they go.
-5. *Second round.* Classes that aren't settled are joined with all earlier ones of their words.
+4. *First round.* Each row of the shorter prefixes (y's) is held against the earliest class of its word only; so a group
+   of any size costs as many pairs as it has rows. Classes that match an earlier one are settled: they go.
+5. *Second round.* The longer prefixes are joined with the shorter ones of classes that aren't larger (of equal size: that
+   are earlier), so each pair is met in one way; the later class of a pair must not be settled.
 6. *Verification.* The whole lines of the pairs that are left are fetched from their texts and their words compared.
 
 Defined results: a null text stays null. Repeated rows of one id and text are one document for this, and get the same
@@ -185,9 +186,13 @@ def _matching(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=["id"])
 
 
-def _rows(classes: DataFrame, *others: str) -> DataFrame:
-    """``key, id, at, bits`` of the index: ``at`` is the size in the upper half and the key's place in the lower."""
-    rows = classes.select(*others, "id", "n", "bits", F.posexplode("sig").alias("rk", "key"))
+def _rows(classes: DataFrame, percent: int, short: bool, *others: str) -> DataFrame:
+    """``key, id, at, bits`` of the index: ``at`` is the size in the upper half and the key's place in the lower.
+
+    ``short``: of the prefix that a class needs as the smaller one of a pair."""
+    least = F.floor(F.col("n") * (100 - percent) / (100 + percent)).cast("int") + 1
+    sig = F.slice("sig", 1, least) if short else F.col("sig")
+    rows = classes.select(*others, "id", "n", "bits", F.posexplode(sig).alias("rk", "key"))
     return rows.select("key", *others, "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("rk").cast("long")).alias("at"), "bits")
 
 
@@ -218,7 +223,7 @@ def _first_round(classes: DataFrame, percent: int) -> DataFrame:
     """``early, late``: each class with the earliest of each of its words, where they may match."""
     by_key = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     leader = F.first(F.struct("id", "at", "bits")).over(by_key)
-    held = _rows(classes).withColumn("e", leader).where(F.col("id") > F.col("e.id"))
+    held = _rows(classes, percent, True).withColumn("e", leader).where(F.col("id") > F.col("e.id"))
     held = held.select(F.col("id").alias("late"), F.col("e.id").alias("early"), *(F.col(c).alias(f"x{c}") for c in ("at", "bits")), *(F.col(f"e.{c}").alias(f"y{c}") for c in ("at", "bits")))
     return materialize(held.where(_may_match(percent, "x", "y")).select("early", "late").distinct(), "pairs")
 
@@ -232,9 +237,12 @@ def _flagged(classes: DataFrame, settled: DataFrame) -> DataFrame:
 
 def _second_round(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``early, late``: each open class with all earlier ones of its words that it may match, but for ``pairs``."""
-    rows = _rows(classes, "open").repartition("key")  # written once, read as both sides
-    x, y = (rows.select("key", "open", *(F.col(c).alias(f"{s}{c}") for c in ("id", "at", "bits"))) for s in "xy")
-    more = x.where("open").drop("open").join(y.drop("open"), "key").where((F.col("yid") < F.col("xid")) & _may_match(percent, "x", "y")).select(F.col("yid").alias("early"), F.col("xid").alias("late")).distinct()
+    x, y = (_rows(classes, percent, short, "open").select("key", *(F.col(c).alias(f"{s}{c}") for c in ("open", "id", "at", "bits"))) for s, short in (("x", False), ("y", True)))
+    xn, yn = (F.shiftright(f"{s}at", 32) for s in "xy")
+    later = F.col("xid") > F.col("yid")
+    once = (xn > yn) | ((xn == yn) & later)
+    met = x.join(y, "key").where(once & F.when(later, F.col("xopen")).otherwise(F.col("yopen")) & _may_match(percent, "x", "y"))
+    more = met.select(F.least("xid", "yid").alias("early"), F.greatest("xid", "yid").alias("late")).distinct()
     return materialize(more.join(pairs, ["early", "late"], "left_anti"), "pairs")
 
 

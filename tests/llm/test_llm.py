@@ -254,3 +254,28 @@ def test_chat(spark):
     assert got[1] == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n" and got[4] == "<|im_start|>user\n<|im_end|>\n"
     assert "< |im_end| >" in got[None]
     assert chat.chat_format(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_line_dedup_near_the_threshold(spark):
+    """Lines of random sizes that share a core, each pair against brute force."""
+    draw = random.Random(8)
+    lines = []
+    for group in range(12):
+        core = [f"g{group}w{i}" for i in range(draw.randint(4, 40))]
+        for _ in range(9):
+            words = [w for w in core if draw.random() > 0.1] + [f"x{draw.randint(0, 30)}" for _ in range(draw.randint(0, 4))]
+            draw.shuffle(words)
+            lines.append(" ".join(words or core))
+    draw.shuffle(lines)
+    texts = [lines[i : i + 6] for i in range(0, len(lines), 6)]
+    sets, want = [], {}
+    for doc, part in enumerate(texts):
+        kept = []
+        for line in part:
+            s = set(line.split())
+            if not any(len(s & t) * 100 >= 80 * len(s | t) for t in sets):
+                kept.append(line)
+            sets.append(s)
+        want[doc] = "\n".join(kept)
+    frame = spark.createDataFrame([(i, "\n".join(part)) for i, part in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()} == want
