@@ -77,3 +77,25 @@ def largest_remainder(groups: DataFrame, weight: str, seats: int, key: str) -> D
     left = seats - exact.agg(F.sum("_floor")).scalar()
     placed = exact.withColumn("_at", F.row_number().over(Window.orderBy(F.desc(F.round(F.col("_exact") - F.col("_floor"), 9)), key)))
     return placed.withColumn("quota", F.col("_floor") + (F.col("_at") <= left).cast("long")).drop("_exact", "_floor", "_at")
+
+
+def context_precision(ranked: DataFrame, texts: DataFrame, sources: DataFrame, k: int) -> DataFrame:
+    """``qid, precision``: the share of the first k hits that cover any gold source. Columns as in ``source_ranks``."""
+    hits = ranked.where(F.col("rk") <= k)
+    rows = hits.join(texts, "id").withColumn("_last", F.coalesce("page_end", "page")).withColumn("_text", normalize_for_match("text"))
+    gold = sources.select(F.col("qid").alias("g_qid"), F.col("doc_id").alias("g_doc"), F.col("page").alias("g_page"), normalize_for_match("quote").alias("g_quote"))
+    covers = (F.col("qid") == F.col("g_qid")) & (F.col("doc_id") == F.col("g_doc")) & (F.col("g_page").isNull() | F.col("g_page").between(F.col("page"), F.col("_last"))) & F.contains("_text", F.col("g_quote"))
+    good = rows.join(gold, covers, "left_semi").groupBy("qid").agg(F.count("*").alias("_good"))
+    return hits.groupBy("qid").agg(F.count("*").alias("_n")).join(good, "qid", "left").select("qid", (F.coalesce("_good", F.lit(0)) / F.col("_n")).alias("precision"))
+
+
+def answer_quality(answerable: Column, abstained: Column, gold_in_context: Column) -> list[Column]:
+    """Counts and refusal rates; null where no question is of the kind."""
+    refused = answerable & abstained
+    return [
+        F.count("*").alias("n"),
+        F.count_if(answerable).alias("answerable"),
+        F.try_divide(F.count_if(~answerable & abstained), F.count_if(~answerable)).alias("correct_refusal"),
+        F.try_divide(F.count_if(refused), F.count_if(answerable)).alias("false_refusal"),
+        F.count_if(refused & gold_in_context).alias("false_refusal_with_gold"),
+    ]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as X
-from lodestream.operators import chunking, evaluation, index, ledger, retrieval
+from lodestream.operators import chunking, cleanup, evaluation, gold, index, ledger, legal, providers, retrieval
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -371,3 +371,155 @@ def upsert_stale_delete(spark, sf_dir):
 def cache_misses(spark, sf_dir):
     hashed = table(spark, sf_dir, "documents").select("doc_id", X.content_hash("text").alias("hash"))
     return index.cache_misses(hashed.select("hash"), hashed.where("doc_id % 2 = 0").select("hash"), ["hash"])
+
+
+# Gold sets ----------------------------------------------------------------------------------------------------
+
+_NORMAL = "trim(regexp_replace(replace({}, chr(173), ''), '\\s+', ' ', 'g'))"
+
+
+def _quotes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Benchmark quotes as sources within a collection each (documents of one source: its pages), and the pages."""
+    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text")
+    items = table(spark, sf_dir, "benchmark")
+    return items.select(F.col("item_id").alias("qid"), F.lit(0).alias("source"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("doc_id"), F.col("item_id").alias("page"), F.substring("text", 1, 40).alias("quote")), pages
+
+
+@query(f"""WITH q AS (SELECT item_id AS qid, 'src' || (item_id % 20) AS src, item_id AS page, {_NORMAL.format("substr(text, 1, 40)")} AS quote FROM benchmark),
+h AS (SELECT qid, any_value(q.page) AS page, list_sort(list(DISTINCT d.doc_id) FILTER (d.doc_id IS NOT NULL)) AS f FROM q LEFT JOIN documents d ON d.source = q.src AND contains({_NORMAL.format("d.text")}, q.quote) GROUP BY qid)
+SELECT qid, page, coalesce(array_to_string(f, ','), '') AS found, CASE WHEN list_contains(f, page) THEN 'ok' WHEN len(f) = 1 THEN 'other_page' WHEN len(f) > 1 THEN 'many_pages' ELSE 'nowhere' END AS outcome FROM h""")
+def quote_outcomes(spark, sf_dir):
+    return gold.quote_places(*_quotes(spark, sf_dir)).select("qid", "page", F.array_join(F.col("found").cast("array<string>"), ",").alias("found"), "outcome")
+
+
+@query(f"""WITH q AS (SELECT item_id AS qid, 'src' || (item_id % 20) AS src, item_id AS page, {_NORMAL.format("substr(text, 1, 40)")} AS quote FROM benchmark),
+h AS (SELECT qid, any_value(q.page) AS page, list(DISTINCT d.doc_id) FILTER (d.doc_id IS NOT NULL) AS f FROM q LEFT JOIN documents d ON d.source = q.src AND contains({_NORMAL.format("d.text")}, q.quote) GROUP BY qid)
+SELECT qid, CASE WHEN len(f) = 1 AND NOT list_contains(f, page) THEN f[1] ELSE page END AS page FROM h""")
+def fixed_pages(spark, sf_dir):
+    sources, pages = _quotes(spark, sf_dir)
+    return gold.fix_pages(sources, gold.quote_places(sources, pages)).select("qid", "page")
+
+
+_MANIFEST = [(f"src{i}", f"{i}/20", [f"Điều {i}", f"Article {2 * i + 1}"]) for i in range(0, 20, 2)]
+
+
+@query(f"""WITH m AS (SELECT doc_id, unnest(a) AS article FROM (VALUES {", ".join(f"('{d}', {a})" for d, _, a in _MANIFEST)}) AS v(doc_id, a)), n AS (SELECT DISTINCT doc_id, regexp_extract(article, '[0-9]+') AS n FROM m)
+SELECT d.doc_id, 'Article ' || (d.doc_id % 40) AS article, n.n IS NOT NULL AS amended FROM documents d LEFT JOIN n ON n.doc_id = d.source AND n.n = CAST(d.doc_id % 40 AS VARCHAR)""")
+def amended_chunks(spark, sf_dir):
+    manifest = spark.createDataFrame(_MANIFEST, "doc_id string, number string, amended_articles array<string>")
+    chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("chunk"), F.concat(F.lit("Article "), (F.col("doc_id") % 40).cast("string")).alias("article"))
+    return gold.mark_amended(chunks, manifest).select(F.col("chunk").alias("doc_id"), "article", "amended")
+
+
+@query("""WITH g AS (SELECT conv_id, role, turn % 3 AS a, list_sort(list(DISTINCT turn + 1)) AS ns FROM conversations WHERE turn % 2 = 0 GROUP BY ALL)
+SELECT conv_id, ns[1] AS n, 'Article ' || a || ' of the ' || role || CASE WHEN role = 'user' THEN ' (1/20)' ELSE '' END || ' has been amended by x, y. Citation [' || array_to_string(ns, '][') || '] shows the original text, which may be outdated.' AS warning FROM g""")
+def amendment_warnings(spark, sf_dir):
+    cited = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("qid"), (F.col("turn") + 1).alias("n"), F.col("role").alias("doc_id"), F.concat(F.lit("Article "), (F.col("turn") % 3).cast("string")).alias("article"),
+        F.col("role").alias("title"), F.when(F.col("role") == "user", "1/20").alias("number"), (F.col("turn") % 2 == 0).alias("amended"), F.array(F.lit("x"), F.lit("y")).alias("amended_by"),
+    )
+    return gold.amendment_warnings(cited).withColumnRenamed("qid", "conv_id")
+
+
+@query("""WITH i AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'unanswerable' WHEN 1 THEN 'numeric' WHEN 2 THEN 'multi_hop' ELSE 'multi_turn' END AS k, doc_id % 3 AS n, lang = 'en' AS h, doc_id % 5 = 0 AS twice FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN k = 'unanswerable' AND n > 0 THEN 'unanswerable_with_sources' END, CASE WHEN k <> 'unanswerable' AND n = 0 THEN 'answerable_without_sources' END,
+  CASE WHEN k = 'multi_hop' AND n < 2 THEN 'multi_hop_under_two_sources' END, CASE WHEN (k = 'multi_turn') <> h THEN 'history_and_type_differ' END, CASE WHEN twice THEN 'repeated_tags' END) AS errors FROM i""")
+def gold_item_errors(spark, sf_dir):
+    at = F.col("doc_id") % 4
+    kind = F.when(at == 0, "unanswerable").when(at == 1, "numeric").when(at == 2, "multi_hop").otherwise("multi_turn")
+    sources = F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (F.col("doc_id") % 3).cast("int"))
+    history = F.when(F.col("lang") == "en", F.array("lang"))
+    tags = F.when(F.col("doc_id") % 5 == 0, F.array("source", "lang", "source")).otherwise(F.array("source", "lang"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(gold.item_errors(kind, sources, history, tags), ",").alias("errors"))
+
+
+@query("""WITH w(type, low, high) AS (VALUES ('view', 0.3, 0.4), ('click', 0.1, 0.25), ('refund', 0.1, 0.2)), c AS (SELECT event_type AS type, count(*) AS n FROM events GROUP BY 1)
+SELECT type, coalesce(n, 0) AS n, round(coalesce(n, 0) / (SELECT count(*) FROM events), 6) AS share, coalesce(n, 0) / (SELECT count(*) FROM events) BETWEEN low AND high AS ok FROM w LEFT JOIN c USING (type)""")
+def type_shares(spark, sf_dir):
+    found = gold.share_check(table(spark, sf_dir, "events"), "event_type", {"view": (0.3, 0.4), "click": (0.1, 0.25), "refund": (0.1, 0.2)})
+    return found.withColumn("share", F.round("share", 6))
+
+
+@query("""SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1""")
+def duplicate_ids(spark, sf_dir):
+    return gold.duplicate_ids(table(spark, sf_dir, "conversations"), "conv_id")
+
+
+@query(f"""WITH {_POSTED}, {_GOLD}
+SELECT qid, round(avg(CASE WHEN contains({_NORMAL.format("d.text")}, {_NORMAL.format("g.quote")}) THEN 1.0 ELSE 0.0 END), 6) AS precision FROM g JOIN (SELECT * FROM rk WHERE rk <= 10) r USING (qid) JOIN documents d ON d.doc_id = r.id GROUP BY qid""")
+def context_precision(spark, sf_dir):
+    page = F.lit(None).cast("int")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("corpus").alias("doc_id"), page.alias("page"), page.alias("page_end"), "text")
+    sources = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.lit("corpus").alias("doc_id"), page.alias("page"), F.substring("text", 1, 40).alias("quote"))
+    ranked = retrieval.top_k(_bm25(spark, sf_dir), 10).select("qid", "id", "rk")
+    return evaluation.context_precision(ranked, texts, sources, 10).withColumn("precision", F.round("precision", 6))
+
+
+@query("""WITH x AS (SELECT lang, quality = 1 AS a, toxic = 1 OR doc_id % 7 = 0 AS r, doc_id % 2 = 0 AS c FROM documents JOIN labels USING (doc_id)),
+y AS (SELECT 'all' AS dimension, 'all' AS value, a, r, c FROM x UNION ALL SELECT 'lang', lang, a, r, c FROM x)
+SELECT dimension, value, count(*) AS n, count(*) FILTER (a) AS answerable, round(count(*) FILTER (NOT a AND r) / nullif(count(*) FILTER (NOT a), 0), 6) AS correct_refusal, round(count(*) FILTER (a AND r) / nullif(count(*) FILTER (a), 0), 6) AS false_refusal, count(*) FILTER (a AND r AND c) AS false_refusal_with_gold FROM y GROUP BY ALL""")
+def answer_quality(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
+    wanted = evaluation.answer_quality(F.col("quality") == 1, (F.col("toxic") == 1) | (F.col("doc_id") % 7 == 0), F.col("doc_id") % 2 == 0)
+    return evaluation.by_dimensions(rows, ["lang"], *wanted).withColumns({c: F.round(c, 6) for c in ("correct_refusal", "false_refusal")})
+
+
+# Page lines, legal texts, calls -------------------------------------------------------------------------------
+
+
+@query("""SELECT source, doc_id, coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS page_offset FROM documents""")
+def page_offsets(spark, sf_dir):
+    return cleanup.continue_pages(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", "n_chars").select("source", "doc_id", "page_offset")
+
+
+@query(r"""WITH l AS (SELECT source, doc_id, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0) AS l FROM documents),
+k AS (SELECT DISTINCT source, doc_id, regexp_replace(trim(x), '[0-9]+', '#', 'g') AS k FROM (SELECT source, doc_id, unnest(list_concat(l[1:3], l[greatest(len(l) - 2, 1):len(l)])) AS x FROM l WHERE len(l) > 0)),
+t AS (SELECT source, count(*) AS n FROM l WHERE len(l) > 0 GROUP BY 1), r AS (SELECT source, list(k) AS ks FROM (SELECT k.source, k.k FROM k JOIN t USING (source) GROUP BY k.source, k.k, t.n HAVING count(*) >= greatest(3, ceil(t.n * 0.02))) GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS INT) AS lines, sha256(array_to_string(s, chr(10))) AS hash FROM (SELECT doc_id, list_filter(l, lambda x, i: NOT ((i <= 3 OR i > len(l) - 3) AND list_contains(coalesce(ks, []), regexp_replace(trim(x), '[0-9]+', '#', 'g')))) AS s FROM l LEFT JOIN r USING (source))""")
+def stripped_pages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    keys = index.running_lines(docs, "source", "doc_id", "text", share=0.02)  # at most 2 * 3 / 0.02 for a source
+    running = F.broadcast(keys.groupBy(F.col("doc").alias("source")).agg(F.collect_list("line_key").alias("running")))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
+    rows = docs.withColumn("lines", lines).join(running, "source", "left").withColumn("kept", cleanup.strip_furniture(F.col("lines"), F.col("running")))
+    return rows.select("doc_id", F.size("kept").alias("lines"), F.sha2(F.array_join("kept", "\n"), 256).alias("hash"))
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return rows.withColumn("page", (F.col("pos") / 40).cast("int") + 1)
+
+
+@query()
+def dehyphenated_lines(spark, sf_dir):
+    return cleanup.dehyphenate(_lines(spark, sf_dir))
+
+
+@query()
+def legal_chunks(spark, sf_dir):
+    """Each document as a law: every fifth line begins an article."""
+    article = F.concat(F.lit("Article "), (F.col("pos") / 5 + 1).cast("int").cast("string"), F.lit(". Of this"))
+    lines = _lines(spark, sf_dir).withColumn("parts", F.when(F.col("pos") % 5 == 0, F.array(article, F.col("text"))).otherwise(F.array("text")))
+    rows = lines.select("doc_id", "page", "pos", F.posexplode("parts").alias("at", "text")).select("doc_id", (F.col("pos") * 2 + F.col("at")).alias("pos"), "text", "page")
+    return legal.chunk_documents(rows, "en", 100)
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 60.0 * (event_id % 3) + 2.5 WHEN 1 THEN 7.0 WHEN 2 THEN 3.0 END::DOUBLE AS wait, event_id % 4 = 3 AS daily,
+  CASE WHEN event_type IN ('error', 'view') THEN 0.0 ELSE value END AS charged, CAST(floor((event_id % 1000) * 1.1) AS BIGINT) + 50 AS counted, CASE WHEN event_type = 'view' THEN 'm' ELSE 'm@' || event_type END AS price_key FROM events""")
+def failed_calls(spark, sf_dir):
+    at = F.col("event_id") % 4
+    said = F.concat(F.lit("try again in "), (F.col("event_id") % 3).cast("string"), F.lit("m2.5s"))
+    message = F.when(at == 0, said).when(at == 1, '{"retryDelay": "7s"}').when(at == 2, "x").otherwise("requests per day")
+    status = F.when(F.col("event_type").isin("error", "view"), 404).otherwise(503)
+    tier = F.when(F.col("event_type") != "view", F.col("event_type"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", providers.advised_wait(message, F.when(at == 2, "3")).alias("wait"), providers.is_daily_quota(message).alias("daily"),
+        ledger.cost_on_error(status, F.col("value")).alias("charged"), ledger.counted_input(F.col("event_id") % 1000).alias("counted"), ledger.price_key(F.lit("m"), tier).alias("price_key"),
+    )
+
+
+@query("""SELECT conv_id, string_agg(text, '' ORDER BY turn) AS answer, count(*) AS deltas FROM conversations WHERE role = 'assistant' GROUP BY conv_id""")
+def assembled_answers(spark, sf_dir):
+    """Deltas of a stream to whole answers."""
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("d"))
+    return rows.select("conv_id", F.array_join("d.text", "").alias("answer"), F.size("d").cast("long").alias("deltas"))
