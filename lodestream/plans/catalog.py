@@ -379,21 +379,21 @@ _NORMAL = "trim(regexp_replace(replace({}, chr(173), ''), '\\s+', ' ', 'g'))"
 
 
 def _quotes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Benchmark quotes as sources within a collection each (documents of one source: its pages), and the pages."""
-    pages = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), "text")
+    """Benchmark quotes as sources within the English collection (its documents: its pages), and the pages."""
+    pages = table(spark, sf_dir, "documents").select(F.col("lang").alias("doc_id"), F.col("doc_id").alias("page"), "text")
     items = table(spark, sf_dir, "benchmark")
-    return items.select(F.col("item_id").alias("qid"), F.lit(0).alias("source"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("doc_id"), F.col("item_id").alias("page"), F.substring("text", 1, 40).alias("quote")), pages
+    return items.select(F.col("item_id").alias("qid"), F.lit(0).alias("source"), F.lit("en").alias("doc_id"), F.col("item_id").alias("page"), F.substring("text", 1, 40).alias("quote")), pages
 
 
-@query(f"""WITH q AS (SELECT item_id AS qid, 'src' || (item_id % 20) AS src, item_id AS page, {_NORMAL.format("substr(text, 1, 40)")} AS quote FROM benchmark),
-h AS (SELECT qid, any_value(q.page) AS page, list_sort(list(DISTINCT d.doc_id) FILTER (d.doc_id IS NOT NULL)) AS f FROM q LEFT JOIN documents d ON d.source = q.src AND contains({_NORMAL.format("d.text")}, q.quote) GROUP BY qid)
+@query(f"""WITH q AS (SELECT item_id AS qid, 'en' AS src, item_id AS page, {_NORMAL.format("substr(text, 1, 40)")} AS quote FROM benchmark),
+h AS (SELECT qid, any_value(q.page) AS page, list_sort(list(DISTINCT d.doc_id) FILTER (d.doc_id IS NOT NULL)) AS f FROM q LEFT JOIN documents d ON d.lang = q.src AND contains({_NORMAL.format("d.text")}, q.quote) GROUP BY qid)
 SELECT qid, page, coalesce(array_to_string(f, ','), '') AS found, CASE WHEN list_contains(f, page) THEN 'ok' WHEN len(f) = 1 THEN 'other_page' WHEN len(f) > 1 THEN 'many_pages' ELSE 'nowhere' END AS outcome FROM h""")
 def quote_outcomes(spark, sf_dir):
     return gold.quote_places(*_quotes(spark, sf_dir)).select("qid", "page", F.array_join(F.col("found").cast("array<string>"), ",").alias("found"), "outcome")
 
 
-@query(f"""WITH q AS (SELECT item_id AS qid, 'src' || (item_id % 20) AS src, item_id AS page, {_NORMAL.format("substr(text, 1, 40)")} AS quote FROM benchmark),
-h AS (SELECT qid, any_value(q.page) AS page, list(DISTINCT d.doc_id) FILTER (d.doc_id IS NOT NULL) AS f FROM q LEFT JOIN documents d ON d.source = q.src AND contains({_NORMAL.format("d.text")}, q.quote) GROUP BY qid)
+@query(f"""WITH q AS (SELECT item_id AS qid, 'en' AS src, item_id AS page, {_NORMAL.format("substr(text, 1, 40)")} AS quote FROM benchmark),
+h AS (SELECT qid, any_value(q.page) AS page, list(DISTINCT d.doc_id) FILTER (d.doc_id IS NOT NULL) AS f FROM q LEFT JOIN documents d ON d.lang = q.src AND contains({_NORMAL.format("d.text")}, q.quote) GROUP BY qid)
 SELECT qid, CASE WHEN len(f) = 1 AND NOT list_contains(f, page) THEN f[1] ELSE page END AS page FROM h""")
 def fixed_pages(spark, sf_dir):
     sources, pages = _quotes(spark, sf_dir)

@@ -4,6 +4,7 @@ import datetime
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lodestream.plans import catalog
@@ -14,7 +15,7 @@ TABLES = "documents embeddings pages benchmark labels conversations events".spli
 
 def rows(frame):
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         if isinstance(v, datetime.datetime):
             return v.date().isoformat()
