@@ -42,8 +42,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .linear import mixed, word_hashes
-from .shared import Memo, count_array, discard, load, materialize, utf8
+from .line_dedup import Hasher
+from .linear import mixed
+from .shared import count_array, discard, load, materialize, utf8
 
 WORDS = 3
 PERCENT = 90
@@ -52,19 +53,38 @@ BUCKETS = 1 << 20
 FREQUENT = 64
 #: Sub-classes of frequent shingles for sets of size s: 2 ** floor(log2 s) / SUBCLASS, 1 at least.
 SUBCLASS = 32
-_BATCH = 4 << 20
+#: Bytes of texts that are hashed at once, and rows whose sets are held at once.
+_CHUNK, _ROWS = 1 << 20, 512
 
 
-def shingles(text: bytes | None, hashes: Memo, words: int = WORDS) -> np.ndarray:
-    """Hashes of all shingles in the order of the text."""
-    found = text.lower().split() if text else []
-    h = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
+def shingles(h: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Hashes of the shingles of a text, given those of its words; of fewer words, one of them all."""
     if not len(h):
         return h
     k = min(words, len(h))
     return mixed(*(h[i : len(h) - k + 1 + i] for i in range(k)), salt=k)
 
 
+def word_runs(texts: list[bytes | None], hasher: Hasher) -> Iterator[np.ndarray]:
+    """The hashes of the words of each text, in order. About ``_CHUNK`` bytes are hashed at once, a longer text alone."""
+    at = 0
+    while at < len(texts):
+        parts, size = [], 0
+        while at < len(texts) and (not parts or size + len(texts[at] or b"") <= _CHUNK):
+            parts.append((texts[at] or b"").lower())
+            size += len(parts[-1]) + 1
+            at += 1
+        starts, h = hasher(b"\n".join(parts))
+        yield from np.split(h, np.searchsorted(starts, np.cumsum([len(x) + 1 for x in parts[:-1]])))
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what a task holds of their sets is small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, _ROWS):
+            yield batch.slice(at, _ROWS)
+
+
 def _bucket(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
 
@@ -73,17 +93,12 @@ def rarity(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, int]:
     """For each bucket, four times the binary logarithm of its count; from which value on a shingle is frequent."""
 
     def counter():
-        hashes = word_hashes()
+        hasher = Hasher()
 
         def add(batch: pa.RecordBatch, counts: np.ndarray) -> None:
-            parts, size = [], 0
-            for text in [*utf8(batch.column(0)), None]:
-                if text is not None:
-                    parts.append(_bucket(shingles(text, hashes, words)))
-                    size += len(text)
-                if parts and (size > _BATCH or text is None):
-                    counts += np.bincount(np.concatenate(parts), minlength=BUCKETS)
-                    parts, size = [], 0
+            for part in _sliced([batch]):
+                found = [shingles(h, words) for h in word_runs(utf8(part.column(0)), hasher)]
+                np.add.at(counts, _bucket(np.concatenate(found)), 1)
 
         return add
 
@@ -133,11 +148,11 @@ def _signed(texts: DataFrame, logs: np.ndarray, frequent: int, words: int, perce
     sent = texts.sparkSession.sparkContext.broadcast(logs)  # BUCKETS bytes
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = word_hashes(), sent.value
-        for batch in batches:
+        hasher, table = Hasher(), sent.value
+        for batch in _sliced(batches):
             sizes, prints, keys, singles = [], [], [], []
-            for text in utf8(batch.column(1)):
-                found = np.unique(shingles(text, hashes, words))
+            for h in word_runs(utf8(batch.column(1)), hasher):
+                found = np.unique(shingles(h, words))
                 sizes.append(len(found))
                 prints.append(_print(found) if len(found) else None)
                 made, single = signature(found, table, frequent, percent) if len(found) else (found, 0)
@@ -166,10 +181,10 @@ def _sets(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, table = word_hashes(), sent.value
-        for batch in batches:
+        hasher, table = Hasher(), sent.value
+        for batch in _sliced(batches):
             batch = batch.filter(pa.array(table[batch.column(0).to_numpy() & (places - 1)]))
-            found = [np.unique(shingles(x, hashes, words)) for x in utf8(batch.column(1))]
+            found = [np.unique(shingles(h, words)) for h in word_runs(utf8(batch.column(1)), hasher)]
             yield pa.RecordBatch.from_arrays([pa.array([_print(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["print", "found"])
 
     made = texts.select(F.xxhash64("doc_id").alias("at"), "text").mapInArrow(make, "print binary, found array<long>")
