@@ -5,7 +5,8 @@ Each stage takes the documents that its predecessor kept and returns documents (
 1. ``quality``: documents whose quality score is under the classifier's cut go.
 2. ``lines``: lines that match an earlier line go. ``n_chars`` follows the text. A document that had words and has none
    left goes, as all it said is said elsewhere.
-3. ``near_duplicates``: of each group of near-duplicate documents the one with the smallest id stays.
+3. ``near_duplicates``: of each group of near-duplicate documents (shingles of five words, Jaccard index 0.8 or more) the one
+   with the smallest id stays. ``op7_ngram_jaccard`` has its own setting, three words and 0.9.
 4. ``benchmark``: documents in which a benchmark window occurs go.
 5. ``pack``: the rest is tokenised and packed into sequences.
 
@@ -34,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs)
+    return jaccard_join.one_of_each(docs, words=5, percent=80)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,48 @@
+"""The stages of the corpus pipeline against brute force."""
+
+import random
+
+import corpus_pipeline
+
+
+def groups(texts, words, percent):
+    """The number of each text's group of near copies (null for texts without words)."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set())
+    group = [i if s else None for i, s in enumerate(sets)]
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]) and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    return group
+
+
+def first_of_each(texts, words=5, percent=80):
+    """Places of the texts that stay, given in order of their ids."""
+    found, seen = groups(texts, words, percent), set()
+    return [i for i, g in enumerate(found) if g is None or not (g in seen or seen.add(g))]
+
+
+def near_copies():
+    """Texts whose copies have one to twelve words changed, so that settings of 3 to 5 words and 0.8 to 0.9 differ."""
+    rng = random.Random(7)
+    texts = []
+    for n in (12, 54, 104, 205, 610):
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        texts.append(" ".join(base))
+        for changed in (1, 2, 4, 12):
+            copy = list(base)
+            for at in rng.sample(range(n), changed):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    return texts + [None, "", "one two", "One two"]
+
+
+def test_near_duplicates_of_five_words(spark):
+    texts = near_copies()
+    assert first_of_each(texts) != first_of_each(texts, 3, 90)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == first_of_each(texts)
