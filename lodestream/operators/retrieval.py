@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from lodestream.functions.text import terms, unigrams
 
 K1, B, AVG_DOC_LEN = 1.2, 0.75, 215.0
 RRF_K = 2
+#: Vectors that are held at once, of the rows and of the queries.
+BLOCK = 512
 
 
 def postings(docs: DataFrame, id_col: str, text_col: str, *keys: str) -> DataFrame:
@@ -50,18 +55,42 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", tex
     return hits.groupBy("qid", "id").agg(F.sum(F.col("idf") * tf_weight(F.col("tf"), F.col("dl"))).alias("score"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-    dot = total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-    norm = lambda c: F.sqrt(total(F.transform(c, lambda x: x.cast("double") * x.cast("double"))))
-    return dot / (norm(a) * norm(b))
+def _blocks(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """``ids, v``: rows of at most ``BLOCK`` ids and their vectors, one after the other. All vectors have one length."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                v = pa.array([part.column(1).flatten().to_numpy(zero_copy_only=False)], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy()], pa.list_(pa.int64())), v], names=["ids", "v"])
 
-def dense_scores(vectors: DataFrame, queries: list[tuple[int, list[float]]], id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``(qid, id, score)`` of a stated, bounded list of query vectors against all rows: a narrow map, no join."""
-    stacked = F.array(*[F.struct(F.lit(q).cast("long").alias("qid"), F.array(*[F.lit(float(x)) for x in v]).alias("v")) for q, v in queries])
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("e"), F.explode(stacked).alias("q"))
-    return rows.select(F.col("q.qid").alias("qid"), "id", cosine(F.col("e"), F.col("q.v")).alias("score"))
+    rows = vectors.select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>")).where(F.col(id_col).isNotNull() & F.col(vector).isNotNull())
+    return rows.mapInArrow(pack, "ids array<long>, v array<double>")
+
+
+def dense_scores(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding", digits: int = 6) -> DataFrame:
+    """``(qid, id, score)``: cosines, rounded, of query vectors with all rows; for :func:`top_k` with ``k`` or less.
+
+    Blocks of rows meet blocks of queries in a cross join, which Spark streams (a side under its broadcast limit is sent
+    whole). Of each pair of blocks the best ``k`` rows of each query go on, ties by id. A vector of length 0 scores null,
+    which ranks last; null ids and vectors are not searched.
+    """
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, v, qids, q = (np.asarray(batch.column(c)[r].values) for c in range(4))
+                v, q = v.reshape(len(ids), -1), q.reshape(len(qids), -1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    found = (q @ v.T) / np.sqrt((q * q).sum(1))[:, None] / np.sqrt((v * v).sum(1))
+                found = np.copysign(np.floor(np.abs(found) * 10**digits + 0.5) / 10**digits, found) + 0.0  # half up, as round()
+                order = np.lexsort((np.broadcast_to(ids, found.shape), -found), axis=1)[:, :k]
+                scores = np.take_along_axis(found, order, axis=1).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, order.shape[1])), pa.array(ids[order].ravel()), pa.array(scores, mask=np.isnan(scores))], names=["qid", "id", "score"])
+
+    asked = _blocks(queries, id_col, vector).select(F.col("ids").alias("qids"), F.col("v").alias("q"))
+    return _blocks(vectors, id_col, vector).crossJoin(asked).mapInArrow(score, "qid long, id long, score double")
 
 
 def fuse(branches: list[tuple[DataFrame, float]], k: int = RRF_K, prefetch: int = 50, limit: int = 10) -> DataFrame:
