@@ -70,7 +70,7 @@ def tenant_scoped_idf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     p = retrieval.postings(docs, "doc_id", "text", "source")
     n = docs.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg(F.size(X.unigrams("text"))), 4).alias("avgdl"))
-    df = p.groupBy("source", "term").agg(F.count("*").alias("df")).where("df >= 5")
+    df = p.groupBy("source", "term").agg(F.count("*").alias("df"))
     return df.join(n, "source").select("source", "term", "df", "n", "avgdl", F.round(retrieval.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
