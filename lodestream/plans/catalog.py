@@ -77,7 +77,7 @@ def tenant_scoped_idf(spark, sf_dir):
 @query(f"""WITH {_POSTED} SELECT doc_id, term, tf AS n FROM p WHERE contains(term, ' ') AND tf > 1""")
 def bigram_terms(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.bigrams("text")).alias("term"))
-    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
 
 
 # Dense retrieval and fusion -----------------------------------------------------------------------------------

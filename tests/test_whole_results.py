@@ -14,6 +14,7 @@ CUTS = {
     "rrf_zero_weight_branch": ("ORDER BY vec_id LIMIT 10", "WHERE vec_id % 20 = 0"),
     "rerank_apply": ("ORDER BY vec_id LIMIT 10", "WHERE vec_id % 20 = 0"),
     "tenant_scoped_idf": (" WHERE df >= 5", ""),
+    "bigram_terms": (" AND tf > 1", ""),
 }
 
 
