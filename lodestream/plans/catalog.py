@@ -375,10 +375,10 @@ _NORMAL = "trim(regexp_replace(replace({}, chr(173), ''), '\\s+', ' ', 'g'))"
 
 
 def _quotes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Benchmark quotes as sources within the English collection (its documents: its pages), and the pages."""
-    pages = table(spark, sf_dir, "documents").select(F.col("lang").alias("doc_id"), F.col("doc_id").alias("page"), "text")
+    """Benchmark items, whole, as quotes from one collection of all documents (its pages), and the pages."""
+    pages = table(spark, sf_dir, "documents").select(F.lit("corpus").alias("doc_id"), F.col("doc_id").alias("page"), "text")
     items = table(spark, sf_dir, "benchmark")
-    return items.select(F.col("item_id").alias("qid"), F.lit(0).alias("source"), F.lit("en").alias("doc_id"), F.col("item_id").alias("page"), F.substring("text", 1, 40).alias("quote")), pages
+    return items.select(F.col("item_id").alias("qid"), F.lit(0).alias("source"), F.lit("corpus").alias("doc_id"), F.col("item_id").alias("page"), F.col("text").alias("quote")), pages
 
 
 @query(f"""WITH q AS (SELECT item_id AS qid, 'en' AS src, item_id AS page, {_NORMAL.format("substr(text, 1, 40)")} AS quote FROM benchmark),

@@ -25,6 +25,23 @@ def test_whole_result(spark, duck, name):  # noqa: F811
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(sql.replace(cut, whole)).df())
 
 
+@pytest.mark.parametrize("name", ["quote_outcomes", "fixed_pages"])
+def test_quotes_of_all_languages(spark, duck, name):  # noqa: F811
+    sql = catalog.SQL[name]
+    assert sql.count("d.lang = q.src AND ") == sql.count("substr(text, 1, 40)") == 1
+    sql = sql.replace("d.lang = q.src AND ", "").replace("substr(text, 1, 40)", "text")
+    assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(sql).df())
+
+
+def test_quotes_are_whole_and_of_any_language(spark, tmp_path):
+    same = "The first forty characters are the same, then "
+    spark.createDataFrame([(1, same + "this"), (2, "ein Satz")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(7, "en", f"x {same}that"), (8, "fr", f"y {same}this"), (9, "de", "Noch ein Satz.")]
+    spark.createDataFrame(docs, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.quote_outcomes(spark, str(tmp_path)).orderBy("qid").collect()
+    assert [(r.qid, r.found, r.outcome) for r in found] == [(1, "8", "other_page"), (2, "9", "other_page")]
+
+
 @pytest.mark.parametrize("block", [7, 512])
 def test_dense_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(catalog.retrieval, "BLOCK", block)
