@@ -284,16 +284,21 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents, all columns as they are, without all but one of each group: a row with the group's smallest id."""
-    groups = materialize(similar_groups(docs, words, percent), "groups")
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    repeated = groups.where(F.col("n_shingles") > 0).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """The documents, all columns as they are, without all but one of each group: a row with the group's smallest id.
+
+    Rows are told apart by id (nulls last) and text, so rows of one id with different texts stay or go each by its own
+    text. Of rows with equal id and text one stays.
+    """
+    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("digest")))
+    groups = materialize(similar_groups(keyed, words, percent, id_col="_key"), "groups")
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_key")).distinct()
+    kept = keyed.join(gone, "_key", "left_anti")
+    repeated = groups.where(F.col("n_shingles") > 0).groupBy(F.col("doc_id").alias("_key")).count().where("count > 1").select("_key")
     if repeated.isEmpty():
-        return kept
-    again = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    alone = kept.join(repeated, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(again)).where("_nth = 1").drop("_nth")
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(alone)
+        return kept.drop("_key")
+    again = Window.partitionBy("_key").orderBy(*[c for c in docs.columns if c != "doc_id"])
+    alone = kept.join(repeated, "_key", "left_semi").withColumn("_nth", F.row_number().over(again)).where("_nth = 1").drop("_nth")
+    return kept.join(repeated, "_key", "left_anti").unionByName(alone).drop("_key")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,3 +46,14 @@ def test_near_duplicates_of_five_words(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert sorted(r.doc_id for r in kept.collect()) == first_of_each(texts)
+
+
+def test_one_row_of_each_group_whatever_its_id(spark):
+    texts = near_copies()[:10]
+    other, copy = texts[0], texts[5:7]
+    given = [(1, copy[0]), (2, copy[1]), (2, other), (2, other), (3, "quite another text"), (3, "and one more"), (None, copy[1]), (None, "of no id"), (None, "of no id"), (None, "OF no id"), (None, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    whole = [(i, t) for i, t in kept if (t or "").lower() != "of no id"]
+    assert sorted(map(repr, whole)) == sorted(map(repr, [(1, copy[0]), (2, other), (3, "quite another text"), (3, "and one more"), (None, None), (4, ""), (4, "")]))
+    assert len(kept) == len(whole) + 1
