@@ -48,7 +48,9 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("pack", pack)]
 
-#: The fitted classifier and the fitted packing are not expressible in SQL; tests hold each stage against brute force.
+#: The fitted classifier and the fitted packing are not expressible in SQL. ``tests/test_pipeline.py`` holds ``lines``,
+#: ``near_duplicates`` and, by the ids of the result, ``run`` from ``lines`` on against brute force, and ``quality`` against
+#: the classifier's own scores.
 ORACLE_SQL = None
 
 

@@ -57,3 +57,48 @@ def test_one_row_of_each_group_whatever_its_id(spark):
     whole = [(i, t) for i, t in kept if (t or "").lower() != "of no id"]
     assert sorted(map(repr, whole)) == sorted(map(repr, [(1, copy[0]), (2, other), (3, "quite another text"), (3, "and one more"), (None, None), (4, ""), (4, "")]))
     assert len(kept) == len(whole) + 1
+
+
+def test_lines_and_run(spark, monkeypatch, tmp_path):
+    """``lines`` and, from there on, ``run()``."""
+    rng = random.Random(11)
+    word = lambda: f"v{rng.randrange(3000)}"
+    texts = ["\n".join(" ".join(word() for _ in range(12)) for _ in range(4)) for _ in range(30)]
+    texts += [texts[3], texts[4] + "\nlast line of its own here", "", " \n ", "  "]
+    item = " ".join(texts[6].split("\n")[0].split()[:11])
+    schema = "doc_id long, text string, lang string, source string, n_chars int"
+    spark.createDataFrame([(i, t, "en", "s", -1) for i, t in enumerate(texts)], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = corpus_pipeline.load(spark, str(tmp_path), "documents")
+
+    before, expected = [], {}
+    for i, t in enumerate(texts):
+        left = []
+        for line in t.split("\n"):
+            s = frozenset(line.split())
+            if not s or not any(100 * len(s & o) >= 80 * len(s | o) for o in before):
+                left.append(line)
+            if s:
+                before.append(s)
+        if not t.split() or "\n".join(left).split():
+            expected[i] = "\n".join(left)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, docs, str(tmp_path)).collect()}
+    assert 30 not in got and 31 in got and 32 in got
+    assert got == {i: (t, len(t)) for i, t in expected.items()}
+
+    # run() with the fitted stage left out, so that every later stage is brute force's
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[1:])
+    ids = list(expected)
+    kept = [ids[k] for k in first_of_each([expected[i] for i in ids])]
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {i for i in kept if i != 6}
+
+
+def test_quality(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 2} more of it " * 5, "en", "s", 1) for i in range(40)], "doc_id long, text string, lang string, source string, n_chars int")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    quality_classifier = corpus_pipeline.quality_classifier
+    score = {r.doc_id: r.score for r in quality_classifier.classify(docs, labels).collect()}
+    kept = {r.doc_id for r in quality_classifier.keep_good(docs, labels).collect()}
+    assert kept == {i for i, x in score.items() if x >= quality_classifier.CUT} and 0 < len(kept) < 40
