@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .line_dedup import Hasher
+from .hashing import Hasher
 from .linear import mixed
 from .shared import count_array, discard, load, materialize, utf8
 

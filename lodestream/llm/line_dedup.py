@@ -1,247 +1,182 @@
-"""Line dedup: exact set-similarity join of lines. Words are hashed in Arrow batches, all else is DataFrame functions.
+"""Line dedup: exact set-similarity join of lines, in DataFrame functions only.
 
-A line (text between newlines) is the set of its distinct words, runs of characters other than ASCII white space. Lines
-are ordered by document id, text hash and line number. A line goes if any earlier line has a Jaccard similarity of
-``PERCENT`` / 100 or more to it, whether or not that one goes itself; lines without words stay as they are.
+A line (text between newlines) is the set of its distinct words, runs of characters other than ASCII white space; words are
+compared by 64-bit hashes. Lines are ordered by document id (null ids first), text hash and line number. A line goes if any
+earlier line has a Jaccard similarity of ``PERCENT`` / 100 or more to it, whether or not that one goes itself; lines without
+words stay as they are.
 
 1. *Rarity.* Words are counted over all lines in ``BUCKETS`` hash buckets; four times the binary logarithm of a bucket's
-   count is one byte of a table of fixed size, which is broadcast. Words are ordered by that and by their hash; a word's
-   64-bit key is the rarity in its top byte and 56 bits of its hash.
-2. *Classes.* Equal sets (two 64-bit sums over mixed keys, and the size) are one class, at the first position; later lines
-   of a class go. A class keeps its size, the prefix of its ordered keys and a parity bitmap of 64 bits of all its keys.
-   A task hashes ``_BYTES`` of text at a time, and a line that is longer alone.
+   count is a table of fixed size, which goes into the plan as a literal. Words are ordered by that, then by hash.
+2. *Classes.* Equal sets (two 64-bit hashes of the ordered word hashes) are one class, at the first position; later lines of
+   a class go. A class keeps its size, the prefix of its ordered keys and a parity bitmap of 64 bits of all its keys.
 3. *Prefix, length and positional filters.* Sets x and y, |x| >= |y|, that match share ceil(t/(1+t) (|x|+|y|)) words or
    more; so their rarest common word is among the first |x| - ceil(t|x|) + 1 of x and the first
    |y| - ceil(2t/(1+t) |y|) + 1 of y, |y| >= t|x|, and at their places enough words are left. The bitmaps bound the
    overlap from above: for each bit that they differ in there is a word that isn't shared.
 4. *First round.* Each row of the shorter prefixes (y's) is held against the earliest class of its word only; so a group
-   of any size costs as many pairs as it has rows. Classes that match an earlier one are settled: they go.
+   of any size costs as many pairs as it has rows. The rows of a frequent word are dealt over ``PARTS`` parts by id, each
+   with an earliest class of its own, so no task gathers them. Classes that match an earlier one are settled: they go.
 5. *Second round.* The longer prefixes are joined with the shorter ones of classes that aren't larger (of equal size: that
    are earlier), so each pair is met in one way; the later class of a pair must not be settled.
-6. *Verification.* The whole lines of the pairs that are left are fetched from their texts and their words compared.
+6. *Verification.* The whole lines of the pairs that are left are fetched from their texts and their sets compared.
 
-Defined results: a null text stays null. Repeated rows of one id and text are one document for this, and get the same
-text. Null ids come first. ``\r`` belongs to no word but to its line. A document of very many lines is handled line by
-line. Other columns pass through.
+Broadcast are tables of at most ``SMALL`` rows, which are counted first; larger ones are joined by a shuffle.
+
+Defined results: a null text stays null, an empty one empty; an empty table gives an empty table. Repeated rows of one id and
+text are one document for this, and get the same text; rows of one id and different texts are different documents, in the
+order of their texts' hashes. Of equal lines the first in the order stays. ``\r`` belongs to no word but to its line. A
+very long line is one row. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .linear import mixed
-from .shared import count_array, discard, load, materialize, release, utf8
+from .shared import SPACE_CLASS, discard, load, materialize, release
 
 PERCENT = 80
-BUCKETS = 1 << 20
-#: Bytes of whole lines that are hashed at once; a longer line is hashed alone.
-_BYTES = 1 << 20
+BUCKETS = 1 << 18
+#: Rows of a broadcast table at most: 64 bytes each or less.
+SMALL = 1 << 18
+PARTS = 16
+#: A word is frequent if its bucket has this share of all words or more, so there are so many such buckets at most.
+FREQUENT = 1 / 1024
+#: From so many words on, the words of one half of all hashes have a parity bitmap of their own besides that of all words.
+WIDE = 64
 #: A character of a word.
 _WORD = "[^\\x20\\x09-\\x0D]"
-_LOW = np.uint64((1 << 56) - 1)
-_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-#: The word hash is a polynomial in this odd number, so it has an inverse modulo 2 ** 64.
-_BASE = 0x9E3779B97F4A7C15
-
-
-class Hasher:
-    """Hashes all words of a chunk of text at once, from running sums over its bytes."""
-
-    def __init__(self) -> None:
-        self.value = mixed(np.arange(256, dtype=np.uint64), salt=11)
-        self._grow(_BYTES + (_BYTES >> 2))
-
-    def _grow(self, size: int) -> None:
-        self.up, self.down = (np.full(size, x, np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
-        for powers in (self.up, self.down):
-            powers[0] = 1
-            np.multiply.accumulate(powers, out=powers)
-
-    def __call__(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Where the words start, and their hashes."""
-        octets = np.frombuffer(data, np.uint8)
-        edges = np.diff(np.concatenate([[False], ~_SPACE[octets], [False]]).astype(np.int8))
-        starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
-        if len(octets) > len(self.up):
-            self._grow(len(octets))
-        sums = np.zeros(len(octets) + 1, np.uint64)
-        np.cumsum(self.value[octets] * self.up[: len(octets)], out=sums[1:])
-        found = (sums[ends] - sums[starts]) * self.down[starts]
-        if len(self.up) > 4 * _BYTES:
-            self._grow(_BYTES + (_BYTES >> 2))
-        return starts, mixed(found, (ends - starts).astype(np.uint64), salt=12)
-
-
-def chunks(texts: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, int, int]]]]:
-    """Chunks of whole lines, and their parts: the text's number, its first line here, that line's number in the text."""
-    parts: list[bytes] = []
-    held: list[tuple[int, int, int]] = []
-    size = lines = 0
-    for i, text in enumerate(texts):
-        at = first = 0
-        while at >= 0:
-            end = text.find(b"\n", at + _BYTES) if len(text) - at > _BYTES else -1
-            part = text[at:end] if end >= 0 else text[at:] if at else text
-            at = end + 1 if end >= 0 else -1
-            parts.append(part)
-            held.append((i, lines, first))
-            here = part.count(b"\n") + 1
-            lines, first, size = lines + here, first + here, size + len(part) + 1
-            if size > _BYTES:
-                yield b"\n".join(parts), held
-                parts, held, size, lines = [], [], 0, 0
-    if parts:
-        yield b"\n".join(parts), held
-
-
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
-
-
-def rarity(docs: DataFrame) -> np.ndarray:
-    """For each bucket, four times the binary logarithm of its count, as one byte."""
-
-    def counter():
-        hasher = Hasher()
-
-        def add(batch: pa.RecordBatch, counts: np.ndarray) -> None:
-            for data, _ in chunks(utf8(batch.column(0))):
-                np.add.at(counts, _bucket(hasher(data)[1]), 1)
-
-        return add
-
-    counts = count_array(docs.where(F.col("text").isNotNull()).select("text"), counter, BUCKETS)
-    return np.minimum(255, 4 * np.log2(counts + 1.0)).astype(np.uint8)
-
-
-def _ordered(line: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """The order by line and key. One integer of the line and the key's upper bits is sorted; ties of it are seen to."""
-    bits = max(1, int(line[-1]).bit_length())
-    short = (line.astype(np.uint64) << np.uint64(64 - bits)) | (key >> np.uint64(bits))
-    order = np.argsort(short)
-    short, put = short[order], key[order]
-    return np.lexsort((key, line)) if ((short[1:] == short[:-1]) & (put[1:] != put[:-1])).any() else order
-
-
-def _signed(line: np.ndarray, h: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, list[pa.Array]]:
-    """The lines with words, and ``n, h1, h2, bits, sig`` of each; given the line and the hash of each word."""
-    key = (table[_bucket(h)].astype(np.uint64) << np.uint64(56)) | (h & _LOW)
-    key = key[_ordered(line, key)]  # the lines ascend before and after
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
-    key, line = key[new], line[new]
-    start = np.flatnonzero(np.diff(line, prepend=-1))
-    n = np.diff(start, append=len(line))
-    prefix = n + percent * n // -100 + 1
-    sig = key[np.arange(len(key)) - np.repeat(start, n) < np.repeat(prefix, n)]
-    bit = np.uint64(1) << ((key >> np.uint64(20)) & np.uint64(63))
-    sums = [np.add.reduceat(mixed(key, salt=salt), start) for salt in (1, 2)]
-    bits = np.bitwise_xor.reduceat(bit, start)
-    offsets = np.concatenate([[0], np.cumsum(prefix)]).astype(np.int32)
-    return line[start], [pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (*sums, bits)), pa.ListArray.from_arrays(offsets, pa.array(sig.view(np.int64)))]
-
-
-def classes_of(docs: DataFrame, table: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """``id, known, doc_id, th, pos, n, sig, bits`` of each class; ids ascend with the first positions."""
-    sent = docs.sparkSession.sparkContext.broadcast(table)  # BUCKETS bytes
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, rare = Hasher(), sent.value
-        for batch in batches:
-            for data, parts in chunks(utf8(batch.column(2))):
-                starts, h = hasher(data)
-                if not len(h):
-                    continue
-                line = np.searchsorted(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), starts)
-                line, columns = _signed(line, h, rare, percent)
-                text, begins, first = np.array(parts).T
-                part = np.searchsorted(begins, line, "right") - 1
-                at = pa.array(text[part])
-                pos = (line - begins[part] + first[part]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(pos), *columns], names=["doc_id", "th", "pos", "n", "h1", "h2", "bits", "sig"])
+_LOW = (1 << 56) - 1
+
+
+def _words(text: str) -> Column:
+    return F.array_remove(F.split(text, SPACE_CLASS), "")
+
+
+def _bucket(hashed: Column) -> Column:
+    return F.shiftrightunsigned(hashed, 64 - (BUCKETS.bit_length() - 1)).cast("int")
+
+
+def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """For each bucket, four times the binary logarithm of its count; from which value on a word is frequent."""
+    words = docs.select(F.explode_outer(_words("text")).alias("word")).where(F.col("word").isNotNull())
+    counts = np.zeros(BUCKETS, np.int64)
+    for row in words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count().collect():  # BUCKETS rows at most
+        counts[row.bucket] = row["count"]
+    ranks = np.minimum(127, 4 * np.log2(counts + 1.0)).astype(np.int64)
+    return ranks, int(np.ceil(4 * np.log2(counts.sum() * FREQUENT + 2)))
+
+
+def _hashes(line: str | Column) -> Column:
+    return F.sort_array(F.array_distinct(F.transform(_words(line), lambda word: F.xxhash64(word))))
+
 
+def classes_of(docs: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> DataFrame:
+    """``id, known, doc_id, th, pos, n, sig, bits, more`` of each class; ids ascend with the first positions."""
+    table = F.split(F.lit(" ".join(map(str, ranks.tolist()))), " ").cast("array<int>")
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = texts.mapInArrow(sign, f"doc_id {kind}, th long, pos int, n int, h1 long, h2 long, bits long, sig array<long>")
-    rows = lines.select(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "pos").alias("at"), "n", "h1", "h2", "bits", "sig")
-    first = rows.groupBy("h1", "h2", "n", "bits").agg(F.min("at").alias("at"), F.first("sig").alias("sig"))
-    flat = first.select("at.known", "at.doc_id", "at.th", "at.pos", "n", "sig", "bits")
+    lines = texts.select("doc_id", "th", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(_WORD))
+    at = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "pos").alias("at")
+    hashed = lines.select(at, _hashes("line").alias("hashes"))
+
+    def key(h: Column) -> Column:
+        rank = F.coalesce(F.get(table, _bucket(h)), F.lit(0)).cast("long")
+        return F.shiftleft(rank, 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
+
+    keyed = hashed.select("at", F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(1), "hashes").alias("h2"), F.sort_array(F.transform("hashes", key)).alias("keys"))
+    n = F.size("keys")
+    prefix = F.slice("keys", 1, n - F.floor((n * percent + 99) / 100).cast("int") + 1)
+
+    def parity(keys: str | Column) -> Column:
+        return F.aggregate(keys, F.lit(0).cast("long"), lambda found, k: found.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 20).bitwiseAND(F.lit(63)).cast("int"))))
+
+    half = F.filter("keys", lambda k: F.shiftright(k, 26).bitwiseAND(F.lit(1)) == 1)
+    rows = keyed.select("at", "h1", "h2", n.alias("n"), prefix.alias("sig"), parity("keys").alias("bits"), F.when(n >= WIDE, parity(half)).otherwise(0).alias("more"))
+    first = rows.groupBy("h1", "h2").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", "sig", "bits", "more")))
+    flat = first.select("at.known", "at.doc_id", "at.th", "at.pos", "n", "sig", "bits", "more")
     ordered = flat.repartitionByRange("known", "doc_id", "th", "pos").sortWithinPartitions("known", "doc_id", "th", "pos")
     return materialize(ordered.withColumn("id", F.monotonically_increasing_id()), "classes")
 
 
-def _matching(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """``late`` of the rows ``late, x, y`` whose lines match."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(utf8(batch.column(1)), utf8(batch.column(2)), strict=True):
-            a, b = set(x.split()), set(y.split())
-            shared = len(a & b)
-            keep.append(shared * 100 >= (len(a) + len(b) - shared) * percent)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_()))], names=["id"])
+def _small(table: DataFrame) -> DataFrame:
+    """``table`` to be broadcast, if it has so few rows."""
+    return F.broadcast(table) if table.limit(SMALL + 1).count() <= SMALL else table
+
+
+def _least(percent: int) -> Column:
+    """The length of the prefix that a class needs as the smaller one of a pair."""
+    return F.floor(F.col("n") * (100 - percent) / (100 + percent)).cast("int") + 1
 
 
-def _rows(classes: DataFrame, percent: int, short: bool, *others: str) -> DataFrame:
-    """``key, id, at, bits`` of the index: ``at`` is the size in the upper half and the key's place in the lower.
+def _rows(classes: DataFrame, percent: int, short: bool) -> DataFrame:
+    """``key, id, at, bits, more`` of the index: ``at`` holds, from the top, whether the class is open, its size and the key's place.
 
-    ``short``: of the prefix that a class needs as the smaller one of a pair."""
-    least = F.floor(F.col("n") * (100 - percent) / (100 + percent)).cast("int") + 1
-    sig = F.slice("sig", 1, least) if short else F.col("sig")
-    rows = classes.select(*others, "id", "n", "bits", F.posexplode(sig).alias("rk", "key"))
-    return rows.select("key", *others, "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("rk").cast("long")).alias("at"), "bits")
+    ``short``: only of the shorter prefix, see ``_least``."""
+    sig = F.slice("sig", 1, _least(percent)) if short else F.col("sig")
+    opened = F.col("open").cast("long") if "open" in classes.columns else F.lit(1).cast("long")
+    rows = classes.select("id", "n", "bits", "more", opened.alias("open"), F.posexplode_outer(sig).alias("rk", "key"))
+    at = F.shiftleft("open", 62).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 31)).bitwiseOR(F.col("rk").cast("long"))
+    return rows.select("key", "id", at.alias("at"), "bits", "more")
 
 
-def _may_match(percent: int, x: str, y: str):
+def _size(at: str) -> Column:
+    return F.shiftright(at, 31).bitwiseAND(F.lit((1 << 31) - 1))
+
+
+def _open(at: str) -> Column:
+    return F.shiftright(at, 62) == 1
+
+
+def _may_match(percent: int, x: str, y: str) -> Column:
     """x and y: prefixes of the columns of two rows of one key. Length, prefix, positional and bitmap filters."""
-    (xn, xrk), (yn, yrk) = ((F.shiftright(f"{c}at", 32), F.col(f"{c}at").bitwiseAND(F.lit(0xFFFFFFFF))) for c in (x, y))
-    needed = F.floor(((xn + yn) * percent + 99 + percent) / (100 + percent))
-    differ = F.bit_count(F.col(f"{x}bits").bitwiseXOR(F.col(f"{y}bits")))
-    return (F.least(xn, yn) * 100 >= F.greatest(xn, yn) * percent) & (F.least(xn - xrk, yn - yrk) >= needed) & (xn + yn - differ >= needed * 2)
+    (xn, xrk), (yn, yrk) = ((_size(f"{c}at"), F.col(f"{c}at").bitwiseAND(F.lit((1 << 31) - 1))) for c in (x, y))
+    fits = (xn * 100 >= yn * percent) & (yn * 100 >= xn * percent)
+    for left in (xn - xrk, yn - yrk):
+        fits = fits & (left * (100 + percent) >= (xn + yn) * percent)
+    alls, halves = (F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}")) for c in ("bits", "more"))
+    differ = F.when((xn >= WIDE) & (yn >= WIDE), F.bit_count(halves) + F.bit_count(alls.bitwiseXOR(halves))).otherwise(F.bit_count(alls))
+    return fits & ((xn + yn) * (100 - percent) >= differ * (100 + percent))
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``id`` of classes that match an earlier class, of the pairs ``early, late``."""
-    ids = pairs.select(F.col("early").alias("id")).union(pairs.select("late")).distinct()
-    places = classes.join(ids, "id", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "id")).alias("asked"))
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    asked = places.withColumnsRenamed({"doc_id": "asked_doc", "th": "asked_th"})
-    found = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("asked_doc")) & (F.col("th") == F.col("asked_th")))
-    lines = found.select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("a")).select(F.col("a.id").alias("id"), F.element_at("lines", F.col("a.pos") + 1).alias("line"))
-    found = materialize(lines.groupBy("id").agg(F.first("line").alias("line")), "lines")
-    rows = pairs.join(found.select(F.col("id").alias("late"), F.col("line").alias("x")), "late").join(found.select(F.col("id").alias("early"), F.col("line").alias("y")), "early")
-    out = materialize(rows.select("late", "x", "y").mapInArrow(lambda batches: _matching(batches, percent), "id long").distinct(), "matched")
-    discard(found)
+    ids = materialize(pairs.select(F.col("early").alias("id")).union(pairs.select("late")).distinct(), "ids")
+    asked = classes.join(_small(ids), "id", "left_semi").select(F.col("doc_id").alias("asked_doc"), F.col("th").alias("asked_th"), "pos", "id")
+    places = materialize(asked.groupBy("asked_doc", "asked_th").agg(F.collect_list(F.struct("pos", "id")).alias("asked")), "places")
+    # the text is split below the join, once, so that each asked line is a look-up in the split text
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))
+    met = texts.join(_small(places), F.col("doc_id").eqNullSafe(F.col("asked_doc")) & (F.col("th") == F.col("asked_th")))
+    taken = met.select(F.explode_outer(F.transform("asked", lambda a: F.struct(a.id.alias("id"), F.get(F.col("lines"), a.pos).alias("line")))).alias("a"))
+    found = materialize(taken.select("a.id", "a.line").groupBy("id").agg(F.first("line").alias("line")).select("id", _hashes("line").alias("hashes")), "lines")
+    rows = pairs.join(found.select(F.col("id").alias("late"), F.col("hashes").alias("x")), "late").join(found.select(F.col("id").alias("early"), F.col("hashes").alias("y")), "early")
+    shared = F.size(F.array_intersect("x", "y"))
+    matched = rows.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent)
+    out = materialize(matched.select(F.col("late").alias("id")).distinct(), "matched")
+    discard(ids, places, found)
     return out
 
 
-def _first_round(classes: DataFrame, percent: int) -> DataFrame:
+def _first_round(classes: DataFrame, percent: int, frequent: int) -> DataFrame:
     """``early, late``: each class with the earliest of each of its words, where they may match."""
-    by_key = Window.partitionBy("key").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    leader = F.first(F.struct("id", "at", "bits")).over(by_key)
-    held = _rows(classes, percent, True).withColumn("e", leader).where(F.col("id") > F.col("e.id"))
-    held = held.select(F.col("id").alias("late"), F.col("e.id").alias("early"), *(F.col(c).alias(f"x{c}") for c in ("at", "bits")), *(F.col(f"e.{c}").alias(f"y{c}") for c in ("at", "bits")))
+    part = F.when(F.shiftright("key", 56) >= frequent, F.col("id") % PARTS).otherwise(0)
+    by_key = Window.partitionBy("key", part).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = _rows(classes, percent, True).withColumn("e", F.first(F.struct("id", "at", "bits", "more")).over(by_key)).where(F.col("id") > F.col("e.id"))
+    held = held.select(F.col("id").alias("late"), F.col("e.id").alias("early"), *(F.col(c).alias(f"x{c}") for c in ("at", "bits", "more")), *(F.col(f"e.{c}").alias(f"y{c}") for c in ("at", "bits", "more")))
     return materialize(held.where(_may_match(percent, "x", "y")).select("early", "late").distinct(), "pairs")
 
 
 def _flagged(classes: DataFrame, settled: DataFrame) -> DataFrame:
-    """The classes and whether they are ``open``, written: the index is shuffled when this join's files are gone."""
-    flagged = materialize(classes.join(settled.withColumn("done", F.lit(True)), "id", "left").withColumn("open", F.col("done").isNull()).drop("done"), "classes")
-    discard(classes)
-    return flagged
+    """The classes and whether they are ``open``."""
+    return classes.join(_small(settled.withColumn("done", F.lit(True))), "id", "left").withColumn("open", F.col("done").isNull()).drop("done")
 
 
 def _second_round(classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """``early, late``: each open class with all earlier ones of its words that it may match, but for ``pairs``."""
-    x, y = (_rows(classes, percent, short, "open").select("key", *(F.col(c).alias(f"{s}{c}") for c in ("open", "id", "at", "bits"))) for s, short in (("x", False), ("y", True)))
-    xn, yn = (F.shiftright(f"{s}at", 32) for s in "xy")
-    later = F.col("xid") > F.col("yid")
+    x, y = (_rows(classes, percent, short).select("key", *(F.col(c).alias(f"{s}{c}") for c in ("id", "at", "bits", "more"))) for s, short in (("x", False), ("y", True)))
+    xn, yn, later = _size("xat"), _size("yat"), F.col("xid") > F.col("yid")
     once = (xn > yn) | ((xn == yn) & later)
-    met = x.join(y, "key").where(once & F.when(later, F.col("xopen")).otherwise(F.col("yopen")) & _may_match(percent, "x", "y"))
+    met = x.join(y, "key").where(once & _may_match(percent, "x", "y") & F.when(later, _open("xat")).otherwise(_open("yat")))
     more = met.select(F.least("xid", "yid").alias("early"), F.greatest("xid", "yid").alias("late")).distinct()
     return materialize(more.join(pairs, ["early", "late"], "left_anti"), "pairs")
 
@@ -252,31 +187,28 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Each step is a function, so that its plans are gone, and their shuffle files can go, when the next one begins.
     """
     spark = docs.sparkSession
-    classes = classes_of(docs, rarity(docs), percent)
-    release(spark, wait=True)
-    pairs = _first_round(classes, percent)
-    release(spark, wait=True)
+    ranks, frequent = rarity(docs)
+    classes = classes_of(docs, ranks, percent)
+    release(spark)
+    pairs = _first_round(classes, percent, frequent)
+    release(spark)
     settled = _verified(docs, classes, pairs, percent)
-    release(spark, wait=True)
-    classes = _flagged(classes, settled)
-    release(spark, wait=True)
-    more = _second_round(classes, pairs, percent)
-    release(spark, wait=True)
+    more = _second_round(_flagged(classes, settled), pairs, percent)
+    release(spark)
     gone = settled if more.isEmpty() else settled.union(_verified(docs, classes, more, percent))
-    release(spark, wait=True)
-    stays = classes.join(gone, "id", "left_anti").select("doc_id", "th", "pos")
+    stays = classes.join(_small(gone), "id", "left_anti").select("doc_id", "th", "pos")
     return stays.groupBy("doc_id", "th").agg(F.collect_list("pos").alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns as they are but ``text`` without the lines that go."""
-    kept = kept_lines(docs, percent).withColumnsRenamed({"doc_id": "_doc", "th": "_th", "kept": "_kept"})
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_th")), "left")
-    rows = rows.withColumn("_lines", F.split("text", "\n"))
-    wordless = F.filter(F.transform("_lines", lambda line, i: F.when(~line.rlike(_WORD), i)), lambda i: i.isNotNull())
-    numbers = F.sort_array(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), wordless))
-    text = F.array_join(F.transform(numbers, lambda i: F.element_at("_lines", i + 1)), "\n")
-    return rows.select(*(F.when(F.col("text").isNotNull(), text).alias("text") if c == "text" else F.col(c) for c in docs.columns))
+    kept = kept_lines(docs.select("doc_id", "text"), percent).select(F.col("doc_id").alias("id"), "th", "kept")
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(kept, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("th")), "left")
+    rows = rows.select("row", "kept", F.split("row.text", "\n").alias("lines"))  # used twice, so it's made once
+    wordless = F.filter(F.transform("lines", lambda line, i: F.when(~line.rlike(_WORD), i)), lambda i: i.isNotNull())
+    numbers = F.sort_array(F.concat(F.coalesce("kept", F.array().cast("array<int>")), wordless))
+    text = F.array_join(F.transform(numbers, lambda i: F.get(F.col("lines"), i)), "\n")
+    return rows.select(*(F.when(F.col("row.text").isNotNull(), text).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

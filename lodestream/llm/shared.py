@@ -40,18 +40,17 @@ def materialize(df: DataFrame, name: str, row_group: int = 32 << 20) -> DataFram
     """
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", row_group).parquet(path)
-    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, wait: bool = False) -> None:
+def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any more; it does so after a driver GC.
 
-    The driver's JVM hears from a background thread, once a second, of plans that Python let go; ``wait`` waits for it.
+    The driver's JVM hears from a background thread, once a second, of plans that Python let go. Called between the large
+    steps of an operator, not after each table.
     """
     gc.collect()
-    if wait:
-        time.sleep(1.5)
+    time.sleep(1.1)
     spark._jvm.System.gc()
 
 

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lodestream.llm import chat, decontaminate, jaccard_join, language_id, line_dedup, packing, pfor, quality_classifier, quality_rules, toxicity
+from lodestream.llm import chat, decontaminate, hashing, jaccard_join, language_id, line_dedup, packing, pfor, quality_classifier, quality_rules, toxicity
 from lodestream.llm.shared import Memo
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, keys string, id int, pos int"
@@ -160,24 +160,37 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
-@pytest.mark.parametrize("size", [4, 50, 1 << 20])
-def test_line_chunks(monkeypatch, size):
-    """Every word is found at its text and line, with one hash a word, wherever chunks end."""
-    monkeypatch.setattr(line_dedup, "_BYTES", size)
+def test_word_hashes(monkeypatch):
+    """Every word is found at its place, with one hash a word, whatever was hashed before."""
+    monkeypatch.setattr(hashing, "_BYTES", 64)
     texts = [(t or "").encode() for _, t, *_ in make()] + [b"a\nb", b"\n\n", b"", b" x\n" * 40]
-    hasher, got, known = line_dedup.Hasher(), [], {}
-    for data, parts in line_dedup.chunks(texts):
+    hasher, known = hashing.Hasher(), {}
+    for data in [*texts, b"\n".join(texts), *texts]:
         starts, hashes = hasher(data)
-        for start, h in zip(starts.tolist(), hashes.tolist(), strict=True):
-            line = data.count(b"\n", 0, start)
-            text, begin, first = [x for x in parts if x[1] <= line][-1]
-            word = data[start:].split(None, 1)[0]
-            got.append((text, line - begin + first, word))
+        words = [(m.start(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", data)]
+        assert starts.tolist() == [at for at, _ in words]
+        for (_, word), h in zip(words, hashes.tolist(), strict=True):
             assert known.setdefault(word, h) == h
-    assert got == [(i, p, w) for i, t in enumerate(texts) for p, line in enumerate(t.split(b"\n")) for w in line.split()]
     assert len(set(known.values())) == len(known)
 
 
+@pytest.mark.parametrize("settings", [{"SMALL": 0}, {"FREQUENT": 0.0}, {"BUCKETS": 4}])
+def test_line_dedup_settings(docs, monkeypatch, settings):
+    """Joins by shuffle, frequent words' leaders by aggregation and a coarse rarity table change no result."""
+    whole = sorted(map(repr, line_dedup.dedup_lines(docs).collect()))
+    for name, value in settings.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    assert sorted(map(repr, line_dedup.dedup_lines(docs).collect())) == whole
+
+
+def test_line_dedup_clashing_names(spark):
+    """Columns named as the operator's own pass through; tabs and carriage returns part words; ties keep the first."""
+    rows = [(1, "a b\tc\nA b c", 1), (2, "a b\r\nc b a\na  b c ", 2), (2, "x y z", 3), (None, "x y z\n \n", 4)]
+    docs = spark.createDataFrame([(i, t, *[k] * 8) for i, t, k in rows], "doc_id long, text string, id int, th int, kept int, hash int, lines int, row int, at int, open int")
+    got = sorted((r["at"], r.text) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == [(1, "a b\tc\nA b c"), (2, "a b\r"), (3, ""), (4, "x y z\n \n")]
+
+
 def brute_groups(rows):
     sets = []
     for i, t, *_ in rows:
