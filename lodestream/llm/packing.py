@@ -10,10 +10,13 @@
    work is bounded by the number of lengths, not of pieces.
 4. Patterns are written as intervals of ranks: pieces ``lo <= rank < hi`` of a length go to consecutive sequences. Pieces
    are ranked within their length by salted windows (a hot length is dealt over as many groups as it needs), and each
-   piece finds its interval by binary search in a broadcast table whose size is bounded by ``MOST_PATTERNS``.
+   piece finds its interval by binary search in a broadcast table. Its size is bounded by ``LENGTH`` alone: there are
+   about LENGTH ** 2 / 12 exact patterns, and each residual pattern uses up a length.
 
 Defined results: a null or empty text is the separator alone (one piece of one id). Repeated rows and ids are packed as
-often as they occur. Null doc_ids are kept. An empty table gives no rows. Other columns play no part.
+often as they occur. Null doc_ids are kept. An empty table gives no rows. Of pieces of one length, which one goes to which
+sequence is open (ties). A very long text is cut into as many pieces as it needs. Other columns pass through :func:`pack`,
+whatever their names; ``sequence_id`` and ``offset`` of its input are replaced.
 """
 
 from __future__ import annotations
@@ -32,11 +35,9 @@ from .tokens import Ids, read_vocabulary
 
 LENGTH = 2048
 SEPARATOR = 0
-#: Fitted patterns that may be used; what further ones would hold is packed with the residuals.
-MOST_PATTERNS = 20_000
 STEPS = 300
 #: Pieces in one ranking group, about.
-GROUP = 4096
+GROUP = 512
 
 
 def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, separator: int = SEPARATOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,7 +119,7 @@ def plan(histogram: np.ndarray) -> list[tuple[dict[int, int], int]]:
     if len(patterns):
         counts = np.rint(fit_counts(patterns, left)).astype(np.int64)
         used = np.nonzero(counts)[0]
-        for k in used[np.argsort(-counts[used], kind="stable")][:MOST_PATTERNS]:
+        for k in used[np.argsort(-counts[used], kind="stable")]:
             need: dict[int, int] = {}
             for n in patterns[k].tolist():
                 if n:
@@ -162,8 +163,9 @@ def intervals(patterns: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarra
 def pack(pieces_table: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to a table with a ``length`` column (1 to ``length``)."""
     spark = pieces_table.sparkSession
-    columns = pieces_table.columns
-    counted = materialize(pieces_table.withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    columns = [c for c in pieces_table.columns if c not in ("sequence_id", "offset")]
+    rows = pieces_table.select(F.struct(*columns).alias("row"), F.col("length"), F.monotonically_increasing_id().alias("uid"))
+    counted = materialize(rows, "pieces")
     histogram = np.zeros(length + 1, np.int64)
     for n, count in counted.groupBy("length").count().collect():  # LENGTH rows at most
         histogram[n] = count
@@ -190,12 +192,12 @@ def pack(pieces_table: DataFrame, length: int = LENGTH, group: int = GROUP) -> D
             at = np.searchsorted(key, n << 44 | rank, side="right") - 1
             inside = rank - table["lo"][at]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in columns), pa.array(table["base"][at] + inside // table["each"][at]), pa.array(table["offset"][at] + inside % table["each"][at] * n)],
+                [*batch.column("row").flatten(), pa.array(table["base"][at] + inside // table["each"][at]), pa.array(table["offset"][at] + inside % table["each"][at] * n)],
                 names=[*columns, "sequence_id", "offset"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces_table.schema)
-    return ranked.select(*columns, "grp", "local").mapInArrow(place, f"{schema}, sequence_id long, offset long")
+    schema = ", ".join(f"`{c}` {pieces_table.schema[c].dataType.simpleString()}" for c in columns)
+    return ranked.select("row", "length", "grp", "local").mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -> DataFrame:
