@@ -7,6 +7,8 @@ where the shift is 0, the block's hash bucket lists the windows that end with it
 
 Defined results: null or empty text and text without words have no words and no hits. A null ``item_id`` is reported as
 no id but its words count as hits. Repeated ``item_id`` values count as one item. Repeated documents get a row each.
+Windows that occur in several items count for each of them, and overlapping hits count each word once. An empty benchmark
+gives rows without hits, an empty table no rows.
 Only the named id and text columns are read, so other columns, whatever their names, play no part; in
 :func:`drop_contaminated` they pass through. Very long texts are searched whole, one at a time.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -110,16 +113,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {wanted.schema['doc_id'].dataType.simpleString()}, {_HIT}"
     parts = _blocks(benchmark, item_col, item_text_col)
-    found = _search(wanted, next(parts), schema, window, spark)
-    for part in parts:  # a benchmark larger than one table: further passes add to the hits found so far
-        held = materialize(wanted.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "docs")
-        return _many(held, [part, *parts], _blocks(benchmark, item_col, item_text_col), schema, window, spark)
-    return found
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        return _search(wanted, first, schema, window, spark)
+    # a benchmark larger than one table: a pass for each part, of which two at most are held here
+    held = materialize(wanted.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "docs")
+    return _many(held, chain((first, second), parts), schema, window, spark)
 
 
-def _many(held: DataFrame, rest: list, again: Iterator, schema: str, window: int, spark: SparkSession) -> DataFrame:
+def _many(held: DataFrame, parts: Iterator, schema: str, window: int, spark: SparkSession) -> DataFrame:
     total = None
-    for part in [next(again), *rest]:
+    for part in parts:
         hits = materialize(_search(held, part, f"row long, {schema}", window, spark, ["row"]).select("row", "doc_id", "n_words", "spans", "item_ids"), "hits")
         total = hits if total is None else total.unionByName(hits)
 
