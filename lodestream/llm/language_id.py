@@ -6,38 +6,43 @@ language. An unseen word falls back to its character n-grams (with a boundary ma
 known, nothing. The language with the largest sum wins (ties: the first in order); the score is its share after a softmax
 of the sums.
 
-The model is learned from a bounded sample: about ``PER_LANGUAGE`` documents of each language, those with the smallest
-hashes, of the rows that may be learned from. It keeps words and n-grams seen ``SEEN`` times or more, and
-``MOST_ENTRIES`` of each kind at most, the most frequent, so it is small enough to be broadcast.
+The model is learned from a bounded sample: about ``PER_LANGUAGE`` documents, and about ``LANGUAGE_BYTES`` of text, of each
+language, those with the smallest hashes, of the rows that may be learned from. It holds every word and n-gram of the
+sample; the sample's bytes bound its size, so it may be broadcast.
 
 Defined results: null texts and texts without letters are ``und`` with score 0. Null langs and held-out rows teach
-nothing; without any other rows all is ``und``. Repeated ids get a row each.
+nothing; without any other rows all is ``und``, and an empty table gives no rows. Repeated ids get a row each. Very long
+texts are scored whole, in parts of 100,000 words. A combining mark is no letter, so it parts a word. Only the id, text and
+language columns are read.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import held_out, load
 
 LONGEST = 5
 PER_LANGUAGE = 2_000
-SEEN = 3
-MOST_ENTRIES = 200_000
+LANGUAGE_BYTES = 8 << 20
 FOLDS, HELD_OUT = 3, 1
-#: Letters, digits of other kinds and marks of numbers excluded below.
+#: Letters, and marks of numbers, which are dropped below.
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in _WORDS(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
+    if not text:
+        return []
+    found = _WORDS(text.lower())
+    return found if all(map(str.isalpha, found)) else [w for w in found if any(map(str.isalpha, w))]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -45,15 +50,16 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)] if n > 1 else list(word)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], dict, list[dict]]:
-    """Languages, and tables of log frequencies in each of them: of words, and of n-grams by n (index 0 unused)."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], list[tuple[list[str], np.ndarray]]]:
+    """Languages, and by n the n-grams (0: the words) and their log frequencies in each language."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", FOLDS, HELD_OUT))
-    totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()  # one row per language
+    totals = {r.lang: min(1.0, PER_LANGUAGE / r.n, LANGUAGE_BYTES / max(1, r.size)) for r in sizes}
     langs = sorted(totals)
     if not langs:
-        return [], {}, []
-    share = F.element_at(F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(min(1.0, PER_LANGUAGE / n)))]), F.col("lang"))
+        return [], []
+    share = F.element_at(F.create_map(*[x for k, part in totals.items() for x in (F.lit(k), F.lit(part))]), F.col("lang"))
     taught = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,45 +81,44 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in every], pa.string()), pa.array([k[1] for k in every], pa.int32()), pa.array([k[2] for k in every], pa.string()), pa.array(list(every.values()), pa.int64())], names=["lang", "kind", "gram", "n"])
 
     counted = taught.mapInArrow(count, "lang string, kind int, gram string, n long").groupBy("kind", "gram").pivot("lang", langs).agg(F.sum("n")).fillna(0)
-    total = sum(F.col(f"`{x}`") for x in langs)
-    ranked = counted.withColumn("total", total).where(F.col("total") >= SEEN)
-    best = ranked.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("total"), "gram"))).where(F.col("place") <= MOST_ENTRIES)
-    tables: list[dict] = [{} for _ in range(LONGEST + 1)]
-    for row in best.select("kind", "gram", F.array(*[F.col(f"`{x}`") for x in langs]).alias("counts")).toLocalIterator():
-        tables[row.kind][row.gram] = row.counts
-    return langs, _logs(tables[0], len(langs)), [_logs(t, len(langs)) for t in tables]
-
-
-def _logs(table: dict, languages: int) -> dict:
-    if not table:
-        return {}
-    counts = np.array(list(table.values()), np.float64) + 0.1
-    logs = np.log(counts) - np.log(counts.sum(axis=0))
-    return dict(zip(table, logs.astype(np.float32), strict=True))
-
-
-class Scorer:
-    def __init__(self, langs: list[str], words: dict, grams: list[dict]):
-        self.langs, self.words, self.grams = langs, words, grams
-        self.memo: dict[str, int] = {}
+    grams: list[list[str]] = [[] for _ in range(LONGEST + 1)]
+    counts: list[array] = [array("q") for _ in range(LONGEST + 1)]
+    for row in counted.select("kind", "gram", F.array(*[F.col(f"`{x}`") for x in langs]).alias("counts")).toLocalIterator():
+        grams[row.kind].append(row.gram)
+        counts[row.kind].extend(row.counts)
+    return langs, [(known, _logs(np.array(n, np.float64).reshape(-1, len(langs)))) for known, n in zip(grams, counts, strict=True)]
+
+
+def _logs(counts: np.ndarray) -> np.ndarray:
+    smooth = counts + 0.1
+    return (np.log(smooth) - np.log(smooth.sum(axis=0))).astype(np.float32)
+
+
+class Scorer(dict):
+    """Places of words in a table of their evidence; a word not met before gets its place when it is looked up."""
+
+    def __init__(self, langs: list[str], grams: list[tuple[list[str], np.ndarray]]):
+        super().__init__()
+        self.langs, self.logs = langs, [x[1] for x in grams]
+        self.at = [dict(zip(x[0], range(len(x[0])), strict=True)) for x in grams]
         self.table = np.zeros((1 << 12, max(1, len(langs))), np.float32)
 
     def _evidence(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is not None:
-            return found
+        known = self.at[0].get(word)
+        if known is not None:
+            return self.logs[0][known]
         for n in range(LONGEST, 0, -1):
-            known = [x for x in map(self.grams[n].get, grams_of(word, n)) if x is not None]
-            if known:
-                return np.mean(known, axis=0)
+            found = [x for x in map(self.at[n].get, grams_of(word, n)) if x is not None]
+            if found:
+                return self.logs[n][found].mean(axis=0)
         return np.zeros(len(self.langs), np.float32)
 
-    def _place(self, word: str) -> int:
-        at = len(self.memo)
+    def __missing__(self, word: str) -> int:
+        at = len(self)
         if at == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         self.table[at] = self._evidence(word)
-        self.memo[word] = at
+        self[word] = at
         return at
 
     def __call__(self, text: str | None) -> tuple[str, float]:
@@ -122,10 +127,9 @@ class Scorer:
             return "und", 0.0
         total = np.zeros(len(self.langs))
         for start in range(0, len(words), 100_000):
-            if len(self.memo) > 400_000:
-                self.memo.clear()
-            part = words[start : start + 100_000]
-            places = [self.memo[w] if w in self.memo else self._place(w) for w in part]
+            if len(self) > 400_000:
+                self.clear()
+            places = list(map(self.__getitem__, words[start : start + 100_000]))
             total += self.table[places].sum(axis=0, dtype=np.float64)
         share = np.exp(total - total.max())
         best = int(share.argmax())
@@ -140,7 +144,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(*sent.value)
         for batch in batches:
-            found = [score(x.as_py()) for x in batch.column(1)]
+            found = [score(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     made = texts.mapInArrow(predict, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
