@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .hashing import Hasher
 from .linear import mixed
-from .shared import count_array, discard, load, materialize, utf8
+from .shared import count_array, discard, load, materialize, release, utf8
 
 WORDS = 3
 PERCENT = 90
@@ -54,7 +54,7 @@ FREQUENT = 64
 #: Sub-classes of frequent shingles for sets of size s: 2 ** floor(log2 s) / SUBCLASS, 1 at least.
 SUBCLASS = 32
 #: Bytes of texts that are hashed at once, and rows whose sets are held at once.
-_CHUNK, _ROWS = 1 << 20, 512
+_CHUNK, _ROWS = 1 << 18, 256
 
 
 def shingles(h: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -242,7 +242,8 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     rows = materialize(_signed(texts, logs, frequent, words, percent), "signed")
     classes = rows.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("keys").alias("keys"), F.first("singles").alias("singles"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    entries = classes.select("node", "singles", F.posexplode("keys").alias("at", "key")).select("key", "node", (F.col("at") < F.col("singles")).alias("single"), F.least("at", F.col("singles").cast("int")).alias("at"))
+    release(docs.sparkSession)
+    entries = classes.select("node", "singles", F.posexplode_outer("keys").alias("at", "key")).select("key", "node", (F.col("at") < F.col("singles")).alias("single"), F.least("at", F.col("singles").cast("int")).alias("at"))
     common = entries.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     shared = materialize(entries.join(common, "key"), "shared")
     own = shared.where("single").groupBy("node").agg(F.count("*").alias("found"))
@@ -251,6 +252,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     other = lone.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("u").alias("v"), F.col("plain").alias("smooth"))
     known = materialize(shared.join(lone, "node").select("key", "node", "at", "n", "u", "plain"), "known")
     discard(shared)
+    release(docs.sparkSession)
     # the class that has least of its own, such as the text that near copies were made from, stands for its key
     hubs = known.groupBy("key").agg(F.min(F.struct("u", "node")).alias("hub")).select("key", F.col("hub.node").alias("a"))
     first_pairs = known.join(hubs, "key").where("node <> a").select(F.least("node", "a").alias("a"), F.greatest("node", "a").alias("b")).distinct()
@@ -258,6 +260,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     pairs = materialize(first_pairs.where(_may_link(percent)).select("a", "b"), "pairs")
     links = _verified(materialize(_plausible(pairs, classes, percent), "pairs"), texts, classes, words, percent)
     found = connected_components(links)
+    release(docs.sparkSession)
 
     # what is left: keys whose classes are in different components
     placed = materialize(known.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component"), "placed")
