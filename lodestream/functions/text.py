@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values -------------------------------------------------------------------------------------------------
@@ -30,27 +30,44 @@ def _all(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
 
+def _parts(text: Column | str) -> Column:
+    """Lower-cased words and break characters in one pass, so that neighbours in the array are neighbours in the text."""
+    return _all(F.lower(_col(text)), f"{_NUMBER}|{_WORD}|{_BREAK}")
+
+
+def _is_word(part: Column) -> Column:
+    return part.rlike(r"^[\p{L}\p{N}_]")
+
+
 def unigrams(text: Column | str) -> Column:
     """Lower-cased words; a number with inner separators is one word."""
     return _all(F.lower(_col(text)), f"{_NUMBER}|{_WORD}")
 
 
 def bigrams(text: Column | str) -> Column:
-    """Neighbouring words with no break character between them.
+    """Neighbouring words with no break character between them."""
+    return _pairs(_parts(text))
 
-    Words and break characters are taken in one pass, so that neighbours in the array are neighbours in the text.
-    """
-    parts = _all(F.lower(_col(text)), f"{_NUMBER}|{_WORD}|{_BREAK}")
+
+def _pairs(parts: Column) -> Column:
     last = F.greatest(F.size(parts) - 1, F.lit(0))
-    pairs = F.zip_with(F.slice(parts, 1, last), F.slice(parts, 2, last), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    word = lambda x: x.rlike(r"^[\p{L}\p{N}_]")
-    return F.transform(F.filter(pairs, lambda p: word(p["a"]) & word(p["b"])), lambda p: F.concat_ws(" ", p["a"], p["b"]))
+    pairs = F.zip_with(F.slice(parts, 1, last), F.slice(parts, 2, last), lambda a, b: F.when(_is_word(a) & _is_word(b), F.concat_ws(" ", a, b)))
+    return F.filter(pairs, lambda p: p.isNotNull())
 
 
 def terms(text: Column | str) -> Column:
     return F.concat(unigrams(text), bigrams(text))
 
 
+def tokenised(rows: DataFrame, text: str, *keep: str | Column) -> DataFrame:
+    """``keep, words, pairs`` of each row: its words and its bigrams, from one pass over the text.
+
+    The pass is a column of its own that is used more than once, so the optimiser doesn't inline it."""
+    parted = rows.select(*keep, _parts(text).alias("_parts"))
+    kept = [c for c in parted.columns if c != "_parts"]
+    return parted.select(*kept, F.filter("_parts", _is_word).alias("words"), _pairs(F.col("_parts")).alias("pairs"))
+
+
 def token_count(text: Column | str) -> Column:
     """Tokens as words and single punctuation characters: a countable stand-in for a model's tokenizer."""
     return F.size(_all(_col(text), r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"))

@@ -34,10 +34,20 @@ def merge_cache(cache: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def shingles(rows: DataFrame, id_col: str, text_col: str, words: int = 7) -> DataFrame:
-    """``id, shingle`` of lower-cased words, each once per row."""
+    """``id, shingle`` of lower-cased words, as often as they occur."""
     w = F.regexp_extract_all(F.lower(text_col), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    base = rows.select(F.col(id_col).alias("id"), w.alias("w")).where(F.size("w") >= words)
-    return base.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: F.array_join(F.slice("w", i, words), " "))).alias("shingle")).distinct()
+    base = rows.select(F.col(id_col).alias("id"), w.alias("w"))
+    start = F.sequence(F.lit(1), F.greatest(F.size("w") - words + 1, F.lit(1)))
+    made = F.when(F.size("w") >= words, F.transform(start, lambda i: F.array_join(F.slice("w", i, words), " ")))
+    return base.select("id", F.explode_outer(made).alias("shingle")).where(F.col("shingle").isNotNull())
+
+
+def shared_shingles(docs: DataFrame, items: DataFrame, id_col: str, item_col: str, text_col: str = "text", words: int = 7) -> DataFrame:
+    """``item, doc, n``: how many distinct shingles of an item a document has. Shingles of documents that no item has are
+    dropped before anything is shuffled, if the items are few enough for Spark to send them."""
+    wanted = shingles(items, item_col, text_col, words).distinct().withColumnRenamed("id", "item")
+    met = shingles(docs, id_col, text_col, words).withColumnRenamed("id", "doc").join(wanted, "shingle")
+    return met.distinct().groupBy("item", "doc").agg(F.count("*").alias("n"))
 
 
 def running_lines(pages: DataFrame, doc: str, page: str, text: str, edge: int = 3, least: int = 3, share: float = 0.5) -> DataFrame:

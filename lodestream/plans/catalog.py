@@ -65,7 +65,7 @@ def bm25_tf_weights(spark, sf_dir):
 
 @query(f"""WITH {_POSTED}, n AS (SELECT source, count(*) AS n, round(avg(dl), 4) AS avgdl FROM d GROUP BY source)
 SELECT source, term, df, n, avgdl, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf
-FROM (SELECT source, term, count(*) AS df FROM p GROUP BY ALL) JOIN n USING (source) WHERE df >= 5""")
+FROM (SELECT source, term, count(*) AS df FROM p GROUP BY ALL) JOIN n USING (source)""")
 def tenant_scoped_idf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     p = retrieval.postings(docs, "doc_id", "text", "source")
@@ -74,7 +74,7 @@ def tenant_scoped_idf(spark, sf_dir):
     return df.join(n, "source").select("source", "term", "df", "n", "avgdl", F.round(retrieval.idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
-@query(f"""WITH {_POSTED} SELECT doc_id, term, tf AS n FROM p WHERE contains(term, ' ') AND tf > 1""")
+@query(f"""WITH {_POSTED} SELECT doc_id, term, tf AS n FROM p WHERE contains(term, ' ')""")
 def bigram_terms(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.bigrams("text")).alias("term"))
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("n"))
@@ -90,7 +90,7 @@ def _dense(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 
 
 _DENSE = """dn AS (SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score
-  FROM embeddings e, (SELECT * FROM embeddings ORDER BY vec_id LIMIT 10) q)"""
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q)"""
 
 
 @query(f"""WITH {_DENSE}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rk FROM dn)
@@ -245,9 +245,8 @@ def block_starts(spark, sf_dir):
   SELECT doc_id AS id, 'd' AS k, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents UNION ALL SELECT item_id, 'b', regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') FROM benchmark) WHERE len(w) >= 7))
 SELECT b.id AS item_id, d.id AS doc_id, count(*) AS n FROM s b JOIN s d USING (g) WHERE b.k = 'b' AND d.k = 'd' GROUP BY ALL""")
 def contamination_shingles(spark, sf_dir):
-    b = index.shingles(table(spark, sf_dir, "benchmark"), "item_id", "text").withColumnRenamed("id", "item_id")
-    d = index.shingles(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
-    return d.join(b, "shingle").groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
+    found = index.shared_shingles(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return found.select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"), "n")
 
 
 @query(r"""WITH l AS (SELECT source AS doc, doc_id AS page, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0) AS l FROM documents),
@@ -381,15 +380,15 @@ def _quotes(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return items.select(F.col("item_id").alias("qid"), F.lit(0).alias("source"), F.lit("corpus").alias("doc_id"), F.col("item_id").alias("page"), F.col("text").alias("quote")), pages
 
 
-@query(f"""WITH q AS (SELECT item_id AS qid, 'en' AS src, item_id AS page, {_NORMAL.format("substr(text, 1, 40)")} AS quote FROM benchmark),
-h AS (SELECT qid, any_value(q.page) AS page, list_sort(list(DISTINCT d.doc_id) FILTER (d.doc_id IS NOT NULL)) AS f FROM q LEFT JOIN documents d ON d.lang = q.src AND contains({_NORMAL.format("d.text")}, q.quote) GROUP BY qid)
+@query(f"""WITH q AS (SELECT item_id AS qid, item_id AS page, {_NORMAL.format("text")} AS quote FROM benchmark),
+h AS (SELECT qid, any_value(q.page) AS page, list_sort(list(DISTINCT d.doc_id) FILTER (d.doc_id IS NOT NULL)) AS f FROM q LEFT JOIN documents d ON contains({_NORMAL.format("d.text")}, q.quote) GROUP BY qid)
 SELECT qid, page, coalesce(array_to_string(f, ','), '') AS found, CASE WHEN list_contains(f, page) THEN 'ok' WHEN len(f) = 1 THEN 'other_page' WHEN len(f) > 1 THEN 'many_pages' ELSE 'nowhere' END AS outcome FROM h""")
 def quote_outcomes(spark, sf_dir):
     return gold.quote_places(*_quotes(spark, sf_dir)).select("qid", "page", F.array_join(F.col("found").cast("array<string>"), ",").alias("found"), "outcome")
 
 
-@query(f"""WITH q AS (SELECT item_id AS qid, 'en' AS src, item_id AS page, {_NORMAL.format("substr(text, 1, 40)")} AS quote FROM benchmark),
-h AS (SELECT qid, any_value(q.page) AS page, list(DISTINCT d.doc_id) FILTER (d.doc_id IS NOT NULL) AS f FROM q LEFT JOIN documents d ON d.lang = q.src AND contains({_NORMAL.format("d.text")}, q.quote) GROUP BY qid)
+@query(f"""WITH q AS (SELECT item_id AS qid, item_id AS page, {_NORMAL.format("text")} AS quote FROM benchmark),
+h AS (SELECT qid, any_value(q.page) AS page, list(DISTINCT d.doc_id) FILTER (d.doc_id IS NOT NULL) AS f FROM q LEFT JOIN documents d ON contains({_NORMAL.format("d.text")}, q.quote) GROUP BY qid)
 SELECT qid, CASE WHEN len(f) = 1 AND NOT list_contains(f, page) THEN f[1] ELSE page END AS page FROM h""")
 def fixed_pages(spark, sf_dir):
     sources, pages = _quotes(spark, sf_dir)
