@@ -7,8 +7,8 @@ words stay as they are.
 
 1. *Rarity.* Words are counted over all lines in ``BUCKETS`` hash buckets; four times the binary logarithm of a bucket's
    count is a table of fixed size, which goes into the plan as a literal. Words are ordered by that, then by hash.
-2. *Classes.* Equal sets (two 64-bit hashes of the ordered word hashes) are one class, at the first position; later lines of
-   a class go. A class keeps its size, the prefix of its ordered keys and a parity bitmap of 64 bits of all its keys.
+2. *Classes.* Equal sets (two 64-bit hashes of the ordered keys, which hold 56 bits of each word's hash; so sets that differ
+   are taken for equal only if they are so in all other words) are one class, at the first position; later lines of a class go. A class keeps its size, the prefix of its ordered keys and a parity bitmap of 64 bits of all its keys.
 3. *Prefix, length and positional filters.* Sets x and y, |x| >= |y|, that match share ceil(t/(1+t) (|x|+|y|)) words or
    more; so their rarest common word is among the first |x| - ceil(t|x|) + 1 of x and the first
    |y| - ceil(2t/(1+t) |y|) + 1 of y, |y| >= t|x|, and at their places enough words are left. The bitmaps bound the
@@ -50,8 +50,13 @@ _WORD = "[^\\x20\\x09-\\x0D]"
 _LOW = (1 << 56) - 1
 
 
-def _words(text: str) -> Column:
-    return F.array_remove(F.split(text, SPACE_CLASS), "")
+def _words(text: str | Column, spaced: str | Column | None = None) -> Column:
+    """The words; ``spaced`` is the text with blanks for line ends. A text with no other white space is split at blanks,
+    which takes no pattern."""
+    other = F.lit(False)
+    for c in "\t\r\x0b\x0c":
+        other = other | F.contains(text, F.lit(c))
+    return F.array_remove(F.when(other, F.split(text, SPACE_CLASS)).otherwise(F.split(text if spaced is None else spaced, " ")), "")
 
 
 def _bucket(hashed: Column) -> Column:
@@ -60,7 +65,7 @@ def _bucket(hashed: Column) -> Column:
 
 def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
     """For each bucket, four times the binary logarithm of its count; from which value on a word is frequent."""
-    words = docs.select(F.explode_outer(_words("text")).alias("word")).where(F.col("word").isNotNull())
+    words = docs.select(F.explode_outer(_words(F.col("text"), F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word")).where(F.col("word").isNotNull())
     counts = np.zeros(BUCKETS, np.int64)
     for row in words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count().collect():  # BUCKETS rows at most
         counts[row.bucket] = row["count"]
@@ -68,23 +73,41 @@ def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
     return ranks, int(np.ceil(4 * np.log2(counts.sum() * FREQUENT + 2)))
 
 
-def _hashes(line: str | Column) -> Column:
-    return F.sort_array(F.array_distinct(F.transform(_words(line), lambda word: F.xxhash64(word))))
+def _hashes(line: str) -> Column:
+    return F.array_distinct(F.transform(_words(F.col(line)), lambda word: F.xxhash64(word)))
+
+
+def _documents(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``doc_id, th, first`` of each document (id and text hash), and bits ``b``: the line ``pos`` of a document has the id
+    ``first + pos``, which ascends with the document's id (null first), the text hash and the line's number, and
+    ``first`` is a multiple of 2 ** b."""
+    texts = docs.where(F.col("text").isNotNull())
+    each = texts.groupBy("doc_id", F.xxhash64("text").alias("th")).agg(F.max(F.octet_length("text")).alias("n"))
+    ordered = each.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th")
+    numbered = materialize(ordered.withColumn("at", F.monotonically_increasing_id()), "order")
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    most = numbered.agg(F.max(part).alias("part"), F.max(row).alias("row"), F.max("n").alias("n")).first()
+    bits = [int(x or 0).bit_length() for x in most]  # a text has no more line ends than bytes
+    if sum(bits) > 63:
+        bits[2] = int(texts.agg(F.max(F.size(F.split("text", "\n")))).first()[0]).bit_length()
+    if sum(bits) > 63:
+        raise ValueError("more documents and lines than 63 bits can number")
+    first = F.shiftleft(F.shiftleft(part, bits[1]).bitwiseOR(row), bits[2])
+    return numbered.select("doc_id", "th", first.alias("first")), bits[2]
 
 
 def classes_of(docs: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> DataFrame:
-    """``id, known, doc_id, th, pos, n, sig, bits, more`` of each class; ids ascend with the first positions."""
+    """``id, doc_id, th, pos, n, sig, bits, more`` of each class; ids ascend with the first positions."""
     table = F.split(F.lit(" ".join(map(str, ranks.tolist()))), " ").cast("array<int>")
+    order, _ = _documents(docs)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
     lines = texts.select("doc_id", "th", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(_WORD))
-    at = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "th", "pos").alias("at")
-    hashed = lines.select(at, _hashes("line").alias("hashes"))
 
     def key(h: Column) -> Column:
         rank = F.coalesce(F.get(table, _bucket(h)), F.lit(0)).cast("long")
         return F.shiftleft(rank, 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
 
-    keyed = hashed.select("at", F.xxhash64("hashes").alias("h1"), F.xxhash64(F.lit(1), "hashes").alias("h2"), F.sort_array(F.transform("hashes", key)).alias("keys"))
+    keyed = lines.select(F.struct("doc_id", "th", "pos").alias("at"), F.sort_array(F.transform(_hashes("line"), key)).alias("keys"))
     n = F.size("keys")
     prefix = F.slice("keys", 1, n - F.floor((n * percent + 99) / 100).cast("int") + 1)
 
@@ -92,11 +115,13 @@ def classes_of(docs: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> Da
         return F.aggregate(keys, F.lit(0).cast("long"), lambda found, k: found.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 20).bitwiseAND(F.lit(63)).cast("int"))))
 
     half = F.filter("keys", lambda k: F.shiftright(k, 26).bitwiseAND(F.lit(1)) == 1)
-    rows = keyed.select("at", "h1", "h2", n.alias("n"), prefix.alias("sig"), parity("keys").alias("bits"), F.when(n >= WIDE, parity(half)).otherwise(0).alias("more"))
-    first = rows.groupBy("h1", "h2").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", "sig", "bits", "more")))
-    flat = first.select("at.known", "at.doc_id", "at.th", "at.pos", "n", "sig", "bits", "more")
-    ordered = flat.repartitionByRange("known", "doc_id", "th", "pos").sortWithinPartitions("known", "doc_id", "th", "pos")
-    return materialize(ordered.withColumn("id", F.monotonically_increasing_id()), "classes")
+    made = {"n": n, "sig": prefix, "bits": parity("keys"), "more": F.when(n >= WIDE, parity(half)).otherwise(0)}
+    rows = keyed.select("at", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), *(c.alias(name) for name, c in made.items()))
+    first = rows.groupBy("h1", "h2").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in made))
+    placed = first.join(_small(order.withColumnsRenamed({"doc_id": "d", "th": "t"})), F.col("at.doc_id").eqNullSafe(F.col("d")) & (F.col("at.th") == F.col("t")))
+    out = materialize(placed.select((F.col("first") + F.col("at.pos")).alias("id"), "at.doc_id", "at.th", "at.pos", *made), "classes")
+    discard(order)
+    return out
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -208,6 +233,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     wordless = F.filter(F.transform("lines", lambda line, i: F.when(~line.rlike(_WORD), i)), lambda i: i.isNotNull())
     numbers = F.sort_array(F.concat(F.coalesce("kept", F.array().cast("array<int>")), wordless))
     text = F.array_join(F.transform(numbers, lambda i: F.get(F.col("lines"), i)), "\n")
+    text = F.when(F.size("kept") == F.size("lines"), F.col("row.text")).otherwise(text)
     return rows.select(*(F.when(F.col("row.text").isNotNull(), text).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
