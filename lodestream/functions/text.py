@@ -1,11 +1,14 @@
-"""Text functions: Column to Column, all within the JVM."""
+"""Text functions: Column to Column, within the JVM but for Unicode normal forms, which are made in Arrow batches."""
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values -------------------------------------------------------------------------------------------------
 #: Letters that mark Vietnamese, and the share of letters above which a text is Vietnamese.
@@ -15,6 +18,11 @@ VIETNAMESE_SHARE, LANGUAGE_SAMPLE = 0.05, 20_000
 ABSTENTIONS = ("không tìm thấy trong tài liệu", "not found in the documents")
 #: A range in a citation longer than this counts with its two ends only.
 LONGEST_RANGE = 10
+#: Tags within a line of converted Markdown.
+INLINE_TAGS = ("mark", "sub", "sup", "u", "b", "i", "em", "strong", "span")
+#: What a line that begins a block begins with: heading, table row, bullet, numbered or lettered item.
+BLOCK_START = r"^(#{1,6}\s|\||[-•*+]\s|[“\"]?\(?([0-9]+|[a-zđ])[.)]\s)"
+LANGUAGE_BLOCKS = 500
 # --------------------------------------------------------------------------------------------------------------
 
 _NUMBER = r"[0-9]+(?:[.,][0-9]+)+"
@@ -22,6 +30,36 @@ _WORD = r"[\p{L}\p{N}_]+"
 _BREAK = r"[.,;:!?()\[\]{}“”\"…\n]"
 
 
+#: White space of all kinds: the JVM's own class has ASCII only.
+_SPACE = r"[\p{Z}\s\x1C-\x1F\x85]"
+
+
+def _normalised(texts: pa.Array, form: str) -> pa.Array:
+    """Python's own normal forms: Arrow's function gave wrong texts for long strings. Most texts are in the form already."""
+    values = texts.to_pylist()
+    if all(x is None or x.isascii() or unicodedata.is_normalized(form, x) for x in values):
+        return texts
+    return pa.array([x if x is None or x.isascii() else unicodedata.normalize(form, x) for x in values], texts.type)
+
+
+@F.arrow_udf(StringType())
+def _composed(texts: pa.Array) -> pa.Array:
+    return _normalised(texts, "NFC")
+
+
+@F.arrow_udf(StringType())
+def _compatible(texts: pa.Array) -> pa.Array:
+    return _normalised(texts, "NFKC")
+
+
+def nfc(text: Column | str) -> Column:
+    return _composed(_col(text))
+
+
+def nfkc(text: Column | str) -> Column:
+    return _compatible(_col(text))
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -32,7 +70,7 @@ def _all(c: Column, pattern: str) -> Column:
 
 def _parts(text: Column | str) -> Column:
     """Lower-cased words and break characters in one pass, so that neighbours in the array are neighbours in the text."""
-    return _all(F.lower(_col(text)), f"{_NUMBER}|{_WORD}|{_BREAK}")
+    return _all(F.lower(nfc(text)), f"{_NUMBER}|{_WORD}|{_BREAK}")
 
 
 def _is_word(part: Column) -> Column:
@@ -41,7 +79,7 @@ def _is_word(part: Column) -> Column:
 
 def unigrams(text: Column | str) -> Column:
     """Lower-cased words; a number with inner separators is one word."""
-    return _all(F.lower(_col(text)), f"{_NUMBER}|{_WORD}")
+    return _all(F.lower(nfc(text)), f"{_NUMBER}|{_WORD}")
 
 
 def bigrams(text: Column | str) -> Column:
@@ -75,18 +113,17 @@ def token_count(text: Column | str) -> Column:
 
 def truncate_tokens(text: Column | str, most: int) -> Column:
     """The text's first ``most`` white-space words and an ellipsis, if it has more."""
-    words = F.split(F.trim(_col(text)), r"\s+")
+    words = F.split(F.regexp_replace(_col(text), rf"^{_SPACE}+|{_SPACE}+$", ""), rf"{_SPACE}+")
     return F.when(F.size(words) <= most, _col(text)).otherwise(F.concat(F.array_join(F.slice(words, 1, most), " "), F.lit(" …")))
 
 
 def clean_text(text: Column | str) -> Column:
-    """Line ends to ``\\n``, control characters out, runs of blanks to one, no blanks around or blank lines between lines."""
-    c = F.regexp_replace(_col(text), r"\r\n?", "\n")
+    """Composed; line ends to ``\\n``, control characters out, runs of blanks of any kind to one, no blanks around lines and no
+    blank lines."""
+    c = F.regexp_replace(nfc(text), r"\r\n?", "\n")
     c = F.regexp_replace(c, r"[\p{C}&&[^\n\t]]", "")
-    c = F.regexp_replace(c, r"[^\S\n]+", " ")
-    c = F.regexp_replace(c, r" ?\n ?", "\n")
-    c = F.regexp_replace(c, r"\n{2,}", "\n")
-    return F.regexp_replace(c, r"^[\s]+|[\s]+$", "")
+    c = F.regexp_replace(c, r"[\p{Z}\t]*\n[\p{Z}\t\n]*", "\n")
+    return F.regexp_replace(F.regexp_replace(c, r"[\p{Z}\t]+", " "), r"^[ \n]+|[ \n]+$", "")
 
 
 def expand_ligatures(text: Column | str) -> Column:
@@ -96,18 +133,21 @@ def expand_ligatures(text: Column | str) -> Column:
 
 def fix_replacement_chars(text: Column | str) -> Column:
     """U+FFFD: a dash between blanks, an apostrophe within a word, nothing elsewhere."""
-    c = F.regexp_replace(_col(text), "(?<=\\s)\ufffd(?=\\s)", "–")
+    c = F.regexp_replace(_col(text), f"(?<={_SPACE})\ufffd(?={_SPACE})", "–")
     c = F.regexp_replace(c, "(?<=[\\p{L}\\p{N}_])\ufffd(?=[\\p{L}\\p{N}_])", "’")
     return F.replace(c, F.lit("\ufffd"), F.lit(""))
 
 
 def strip_markdown_inline(text: Column | str) -> Column:
-    """No notes, inline tags, emphasis marks and quote marks; headings and tables stay."""
-    c = F.regexp_replace(_col(text), r"<sup>.*?</sup>", "")
-    c = F.regexp_replace(c, r"</?(?:mark|sub|u|b|i|em|strong|span)[^>]*>", "")
-    c = F.regexp_replace(c, r"\*\*|__", "")
-    c = F.regexp_replace(c, r"(?<![\p{L}\p{N}_*])[_*]([^_*\n]+?)[_*](?![\p{L}\p{N}_*])", "$1")
-    return F.regexp_replace(c, r"(?m)^>\s?", "")
+    """No raised notes, inline tags, emphasis marks and quote marks; headings, bullets and tables stay.
+
+    Doubled marks go wherever they are, single ones only in pairs that enclose text and don't touch words outside, so
+    ``snake_case`` and a lone asterisk stay."""
+    quoted = F.regexp_replace(_col(text), r"(?m)^>[ \t]?", "")
+    tags = rf"<sup>[^\n]*?</sup>|<(?:/\s*)?(?:{'|'.join(INLINE_TAGS)})(?:\s[^>]*)?/?>"
+    plain = F.regexp_replace(F.regexp_replace(quoted, tags, ""), r"([*_])\1", "")
+    outside = r"[\p{L}\p{N}_*]"
+    return F.regexp_replace(plain, rf"(?<!{outside})([*_])((?:(?!\1)[^\n])+)\1(?!{outside})", "$2")
 
 
 def page_lines(text: Column | str) -> Column:
@@ -117,8 +157,18 @@ def page_lines(text: Column | str) -> Column:
 
 
 def normalize_for_match(text: Column | str) -> Column:
-    """No soft hyphens, white space collapsed. Texts are expected in a composed form."""
-    return F.trim(F.regexp_replace(F.replace(_col(text), F.lit("\u00ad"), F.lit("")), r"\s+", " "))
+    """In compatible composed form, without soft hyphens, white space collapsed."""
+    return collapse(F.replace(nfkc(text), F.lit("\u00ad"), F.lit("")))
+
+
+def collapse(text: Column | str) -> Column:
+    """Runs of white space of any kind to one blank, none at the ends."""
+    return F.trim(F.regexp_replace(_col(text), rf"{_SPACE}+", " "))
+
+
+def language_sample(blocks: Column | str) -> Column:
+    """The first ``LANGUAGE_BLOCKS`` of an array of blocks, a line each."""
+    return F.array_join(F.slice(_col(blocks), 1, LANGUAGE_BLOCKS), "\n")
 
 
 def detect_language(text: Column | str, letters: str = VIETNAMESE, share: float = VIETNAMESE_SHARE, yes: str = "vi", no: str = "en") -> Column:
@@ -137,8 +187,7 @@ def point_id(user: Column | str, doc: Column | str, hashed: Column | str) -> Col
 
 
 def starts_block(line: Column | str) -> Column:
-    """Heading, table row, bullet, numbered or lettered item."""
-    return _col(line).rlike(r"^(#{1,6}\s|\||[-•*+]\s|[“\"]?\(?([0-9]+|[a-zđ])[.)]\s)")
+    return _col(line).rlike(BLOCK_START)
 
 
 def embedding_text(title: Column, number: Column, path: Column, text: Column) -> Column:
@@ -175,7 +224,8 @@ def strip_citations(text: Column | str) -> Column:
 
 
 def is_abstention(text: Column | str) -> Column:
-    c = F.lower(F.regexp_replace(F.regexp_replace(_col(text), r"\s+", " "), r"^[ *_#>\"']+", ""))
+    """The answer, in any case and with any marks before it, begins with a refusal."""
+    c = F.lower(F.regexp_replace(collapse(nfc(text)), r"^[ *_#>\"']+", ""))
     return reduce(lambda a, b: a | b, [F.startswith(c, F.lit(x)) for x in ABSTENTIONS])
 
 
@@ -199,8 +249,10 @@ def escape_html(c: Column) -> Column:
     return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")), c)
 
 
-def format_document(index: Column, title: Column, text: Column) -> Column:
-    """A numbered document block; document tags in the text are made harmless."""
-    safe = F.regexp_replace(text, r"(?i)<(/?)(documents?)\b", "‹$1$2")
-    head = F.concat(F.lit('index="'), index.cast("string"), F.lit('"'), F.when(F.length(title) > 0, F.concat(F.lit(' title="'), escape_html(title), F.lit('"'))).otherwise(""))
+def format_document(index: Column, title: Column, text: Column, **attributes: Column) -> Column:
+    """A numbered document block with its title and further attributes (those that are null or empty are left out);
+    document tags in the text are made harmless."""
+    safe = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)<(/?)(documents?)\b", "‹$1$2")
+    named = {"index": index.cast("string"), "title": title, **attributes}
+    head = F.concat_ws(" ", *[F.when(F.length(c) > 0, F.concat(F.lit(f'{name}="'), escape_html(c), F.lit('"'))) for name, c in named.items()])
     return F.concat(F.lit("<document "), head, F.lit(">\n"), safe, F.lit("\n</document>"))

@@ -35,7 +35,7 @@ _ALL = r"'[0-9]+(?:[.,][0-9]+)+|[\p{L}\p{N}_]+|[.,;:!?()\[\]{}“”\"…\n]'"
 
 
 _PAIRS = r"""list_concat(u, list_transform(list_filter(list_zip(e[: len(e) - 1], e[2:]), lambda x: regexp_matches(x[1], '^[\p{L}\p{N}_]') AND regexp_matches(x[2], '^[\p{L}\p{N}_]')), lambda x: x[1] || ' ' || x[2])) AS t"""
-_SPLIT = f"regexp_extract_all(lower(text), {_UNI}) AS u, regexp_extract_all(lower(text), {_ALL}) AS e"
+_SPLIT = f"regexp_extract_all(lower(nfc_normalize(text)), {_UNI}) AS u, regexp_extract_all(lower(nfc_normalize(text)), {_ALL}) AS e"
 _POSTED = f"""
 d AS (SELECT doc_id, lang, source, len(u) AS dl, {_PAIRS} FROM (SELECT *, {_SPLIT} FROM documents)),
 p AS (SELECT doc_id, lang, source, dl, term, count(*) AS tf FROM (SELECT doc_id, lang, source, dl, unnest(t) AS term FROM d) GROUP BY ALL),
@@ -214,7 +214,7 @@ def stratified_turns(spark, sf_dir):
 # Text ---------------------------------------------------------------------------------------------------------
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \t\f\v]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS clean_hash FROM documents""")
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(nfc_normalize(text), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]|[\p{Cf}\p{Co}\x{80}-\x{9f}]', '', 'g'), '[\p{Z}\t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{2,}', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS clean_hash FROM documents""")
 def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.clean_text("text"), 256).alias("clean_hash"))
 

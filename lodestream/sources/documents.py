@@ -5,15 +5,23 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_DROPPED = {"script", "style", "nav", "header", "footer", "aside", "form", "noscript", "template", "svg", "iframe"}
-_BLOCKS = {"p", "div", "section", "article", "main", "ul", "ol", "li", "table", "blockquote", "pre", "dl", "dd", "dt", "figure", "title", "body", "html", "head"}
+from lodestream.functions.text import page_lines
+
+MIN_ARTICLES = 3
+
+# Fixed values -------------------------------------------------------------------------------------------------
+#: Elements that are left out with all that they hold, and elements that end a line.
+_DROPPED = {"aside", "footer", "form", "head", "iframe", "nav", "noscript", "script", "style", "svg", "template"}
+_BLOCKS = {"address", "article", "blockquote", "body", "dd", "div", "dl", "dt", "figcaption", "figure", "header", "html", "li", "main", "ol", "p", "pre", "section", "table", "ul"}
+# --------------------------------------------------------------------------------------------------------------
 _HEADINGS = {f"h{i}": i for i in range(1, 7)}
 
 
@@ -93,41 +101,54 @@ def html_to_lines(html: str) -> list[str]:
 
 
 def docx_to_lines(data: bytes) -> list[str]:
-    """Paragraphs and tables in body order; title and headings as ``#`` lines; merged cells once."""
+    """Paragraphs and tables in body order; title and headings as ``#`` lines. A merged cell stands once in the file.
+
+    A heading's level is in its style's name; a style without a name entry counts by its id."""
     w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).find(f"{w}body")
+    archive = zipfile.ZipFile(io.BytesIO(data))
+    body = ElementTree.fromstring(archive.read("word/document.xml")).find(f"{w}body")
+    names = {}
+    if "word/styles.xml" in archive.namelist():
+        for style in ElementTree.fromstring(archive.read("word/styles.xml")).iter(f"{w}style"):
+            if (named := style.find(f"{w}name")) is not None:
+                names[style.get(f"{w}styleId")] = named.get(f"{w}val") or ""
     text_of = lambda e: "".join(t.text or "" for t in e.iter(f"{w}t")).strip()
     lines: list[str] = []
     for element in body if body is not None else []:
         if element.tag == f"{w}p" and (text := text_of(element)):
             style = element.find(f"{w}pPr/{w}pStyle")
-            name = (style.get(f"{w}val") or "").replace(" ", "") if style is not None else ""
-            level = 1 if name == "Title" else min(6, int(m[1])) if (m := re.fullmatch(r"[Hh]eading([0-9]+)", name)) else 0
+            given = (style.get(f"{w}val") or "") if style is not None else ""
+            name = names.get(given, given).replace(" ", "")
+            level = 1 if name.lower() == "title" else min(6, int(m[1])) if (m := re.fullmatch(r"[Hh]eading([0-9]+)", name)) else 0
             lines.append("#" * level + " " * bool(level) + text)
         elif element.tag == f"{w}tbl":
-            rows = [[text_of(c) for c in r.findall(f"{w}tc")] for r in element.findall(f"{w}tr")]
-            lines += table_rows([[c for i, c in enumerate(r) if i == 0 or c != r[i - 1]] for r in rows])
+            lines += table_rows([[" ".join(text_of(c).split()) for c in r.findall(f"{w}tc")] for r in element.findall(f"{w}tr")])
     return lines
 
 
 FORMATS = {".txt": "txt", ".md": "md", ".markdown": "md", ".html": "html", ".htm": "html", ".docx": "docx", ".pdf": "pdf"}
+#: Opens a PDF: text, Markdown (None: not known) and whether it has images, of each page.
+OpenPdf = Callable[[bytes], Iterable[tuple[str, str | None, bool]]]
 
 
 def parse_file(path: str, data: bytes) -> tuple[str, list[str]]:
-    suffix = "." + path.rsplit(".", 1)[-1].lower()
+    """Format and raw lines of a file that isn't a PDF."""
+    name = path.rsplit("/", 1)[-1]
+    suffix = "." + name.rsplit(".", 1)[-1].lower() if "." in name else ""
     kind = FORMATS.get(suffix)
-    if kind is None:
-        raise UnsupportedFile(f"{suffix} files can't be read")
-    if kind == "pdf":
-        raise UnsupportedFile("no PDF library is installed")
+    if suffix == ".doc":
+        raise UnsupportedFile("old .doc files can't be read: save the file as .docx")
+    if kind is None or kind == "pdf":
+        raise UnsupportedFile(f"{suffix or 'files without a suffix'} can't be read")
     if kind == "docx":
         return kind, docx_to_lines(data)
     text = decode(data)
-    return kind, html_to_lines(text) if kind == "html" else [x for x in text.splitlines() if x.strip()]
+    return kind, html_to_lines(text) if kind == "html" else text.splitlines()
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """``path, format, lines, error`` of each file under the path."""
+    """``path, format, lines, structure, error`` of each file under the path: cleaned, non-blank lines; ``structure`` is
+    legal or generic."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -137,6 +158,30 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((name, *parse_file(name, bytes(data)), None))
                 except (UnsupportedFile, zipfile.BadZipFile, ElementTree.ParseError, KeyError) as error:
                     rows.append((name, None, None, str(error)))
-            yield pd.DataFrame(rows, columns=["path", "format", "lines", "error"])
+            yield pd.DataFrame(rows, columns=["path", "format", "raw", "error"])
+
+    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, format string, raw array<string>, error string")
+    rows = raw.withColumn("lines", page_lines(F.array_join("raw", "\n")))
+    heads = F.size(F.filter("lines", lambda x: x.rlike(r"^\s*(?:#+\s+)?(?:Điều|Article|ARTICLE)\s+[0-9]+")))
+    kind = F.when(F.col("lines").isNotNull(), F.when(heads >= MIN_ARTICLES, "legal").otherwise("generic"))
+    return rows.select("path", "format", "lines", kind.alias("structure"), "error")
+
+
+def read_pdf_pages(files: DataFrame, open_pdf: Callable[[], OpenPdf]) -> DataFrame:
+    """``doc_id, file, page, text, markdown, has_images, error`` of each page of PDF ``files`` (doc_id, file, content).
+
+    ``open_pdf`` makes the reader on the executor. A file that it can't open is one row with an error and no page.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = open_pdf()
+        for frame in frames:
+            for doc, file, data in frame.itertuples(index=False):
+                try:
+                    rows = [(doc, file, i, *page, None) for i, page in enumerate(reader(bytes(data)), 1)]
+                except Exception as error:  # readers raise what they like; the file is reported, the others go on
+                    rows = [(doc, file, None, None, None, None, str(error))]
+                yield pd.DataFrame(rows, columns=["doc_id", "file", "page", "text", "markdown", "has_images", "error"]).astype({"page": "Int32", "has_images": "boolean"})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, format string, lines array<string>, error string")
+    kinds = {c: files.schema[c].dataType.simpleString() for c in ("doc_id", "file")}
+    return files.select("doc_id", "file", "content").mapInPandas(read, f"doc_id {kinds['doc_id']}, file {kinds['file']}, page int, text string, markdown string, has_images boolean, error string")
