@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import load, materialize, utf8
+from .shared import load, materialize, sliced, utf8
 
 WINDOW = 10
 #: Benchmark text in one search table at most, in bytes. More is searched in further passes, block by block.
@@ -145,7 +145,7 @@ def _search(docs: DataFrame, part: tuple, schema: str, window: int, spark: Spark
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = sent.value
         tables = _tables(texts, window)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, all_spans, all_items = [], [], []
             for text in utf8(batch.column("text")):
                 words = words_of(text)
@@ -171,7 +171,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             tables = _tables(sent.value[1], window)
-            for batch in batches:
+            for batch in sliced(batches):
                 mask = []
                 for text in utf8(batch.column(batch.schema.names.index(text_col))):
                     words, spans, items = words_of(text), [], set()

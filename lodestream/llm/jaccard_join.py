@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .hashing import Hasher
 from .linear import mixed
-from .shared import count_array, discard, load, materialize, release, utf8
+from .shared import count_array, discard, load, materialize, release, sliced, utf8
 
 WORDS = 3
 PERCENT = 90
@@ -53,8 +53,8 @@ BUCKETS = 1 << 20
 FREQUENT = 64
 #: Sub-classes of frequent shingles for sets of size s: 2 ** floor(log2 s) / SUBCLASS, 1 at least.
 SUBCLASS = 32
-#: Bytes of texts that are hashed at once, and rows whose sets are held at once.
-_CHUNK, _ROWS = 1 << 18, 256
+#: Bytes of texts that are hashed at once.
+_CHUNK = 1 << 18
 
 
 def shingles(h: np.ndarray, words: int = WORDS) -> np.ndarray:
@@ -78,13 +78,6 @@ def word_runs(texts: list[bytes | None], hasher: Hasher) -> Iterator[np.ndarray]
         yield from np.split(h, np.searchsorted(starts, np.cumsum([len(x) + 1 for x in parts[:-1]])))
 
 
-def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of few rows, so that what a task holds of their sets is small."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, _ROWS):
-            yield batch.slice(at, _ROWS)
-
-
 def _bucket(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
 
@@ -96,7 +89,7 @@ def rarity(texts: DataFrame, words: int = WORDS) -> tuple[np.ndarray, int]:
         hasher = Hasher()
 
         def add(batch: pa.RecordBatch, counts: np.ndarray) -> None:
-            for part in _sliced([batch]):
+            for part in sliced(iter([batch])):
                 found = [shingles(h, words) for h in word_runs(utf8(part.column(0)), hasher)]
                 np.add.at(counts, _bucket(np.concatenate(found)), 1)
 
@@ -149,7 +142,7 @@ def _signed(texts: DataFrame, logs: np.ndarray, frequent: int, words: int, perce
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table = Hasher(), sent.value
-        for batch in _sliced(batches):
+        for batch in sliced(batches):
             sizes, prints, keys, singles = [], [], [], []
             for h in word_runs(utf8(batch.column(1)), hasher):
                 found = np.unique(shingles(h, words))
@@ -182,7 +175,7 @@ def _sets(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, table = Hasher(), sent.value
-        for batch in _sliced(batches):
+        for batch in sliced(batches):
             batch = batch.filter(pa.array(table[batch.column(0).to_numpy() & (places - 1)]))
             found = [np.unique(shingles(h, words)) for h in word_runs(utf8(batch.column(1)), hasher)]
             yield pa.RecordBatch.from_arrays([pa.array([_print(x) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=["print", "found"])

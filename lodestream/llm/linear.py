@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Memo, held_out, utf8
+from .shared import Memo, held_out, sliced, utf8
 
 SAMPLE = 8_000
 SAMPLE_FEATURES = 24_000_000
@@ -46,7 +46,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, features: Features, i
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
-        for batch in batches:
+        for batch in sliced(batches):
             found = [features(x, hashes).astype("<u4").tobytes() for x in utf8(batch.column(0))]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.binary())], names=["label", "at", "found"])
 
@@ -85,7 +85,7 @@ def scored(docs: DataFrame, scorer: Callable[[], Callable[[list[bytes | None]],
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = scorer()
-        for batch in batches:
+        for batch in sliced(batches):
             values = np.array(of(utf8(batch.column(1))), np.float64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), pa.array((values >= cut).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -99,7 +99,7 @@ def kept(docs: DataFrame, scorer: Callable[[], Callable[[list[bytes | None]], li
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = scorer()
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array([x >= cut for x in of(utf8(batch.column(at)))], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

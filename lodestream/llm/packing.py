@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import load, materialize, utf8
+from .shared import load, materialize, sliced, utf8
 from .tokens import Ids, read_vocabulary
 
 LENGTH = 2048
@@ -40,14 +40,15 @@ STEPS = 300
 GROUP = 512
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, separator: int = SEPARATOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, ids`` for each piece of each document; ``ids`` is little-endian u32."""
+def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, separator: int = SEPARATOR, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, ids`` for each piece of each document; ``ids`` is little-endian u32, and
+    left out if not asked for."""
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     wanted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, end, step = Ids(sent.value), struct.pack("<I", separator), 4 * length
-        for batch in batches:
+        for batch in sliced(batches):
             rows, numbers, parts = [], [], []
             for row, text in enumerate(utf8(batch.column(1))):
                 ids = ids_of(text) + end
@@ -56,12 +57,14 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH,
                     numbers.append(number)
                     parts.append(ids[at : at + step])
             number = np.array(numbers, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(number), pa.array(number.astype(np.int64) * length), pa.array([len(x) // 4 for x in parts], pa.int64()), pa.array([zlib.crc32(x) for x in parts], pa.int64()), pa.array(parts, pa.binary())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"],
-            )
+            made = {"doc_id": batch.column(0).take(pa.array(rows, pa.int64())), "piece": pa.array(number), "start": pa.array(number.astype(np.int64) * length)}
+            made |= {"length": pa.array([len(x) // 4 for x in parts], pa.int64()), "ids_crc32": pa.array([zlib.crc32(x) for x in parts], pa.int64())}
+            if with_ids:
+                made["ids"] = pa.array(parts, pa.binary())
+            yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
-    return wanted.mapInArrow(cut, f"doc_id {wanted.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, ids binary")
+    schema = f"doc_id {wanted.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
+    return wanted.mapInArrow(cut, schema + ", ids binary" * with_ids)
 
 
 def _exact_patterns(lengths: np.ndarray, full: int) -> np.ndarray:
@@ -202,7 +205,7 @@ def pack(pieces_table: DataFrame, length: int = LENGTH, group: int = GROUP) -> D
 
 def pack_documents(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH) -> DataFrame:
     """Pieces of the documents with their places; the ids themselves are left out (see :func:`pieces`)."""
-    return pack(pieces(docs, vocabulary, length).drop("ids"), length)
+    return pack(pieces(docs, vocabulary, length, with_ids=False), length)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,17 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+#: Rows that a task works on at once.
+ROWS = 256
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, so that what a task makes of them is small beside the batch that Spark sent."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def crc_mod(doc_id: object, mod: int) -> int:
     """crc32 of the id's decimal text, modulo ``mod``; a null id counts as the empty text."""
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % mod

@@ -53,8 +53,8 @@ class Ids:
         self.check(vocabulary)
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.parts = Memo(self._part)
-        self.memo = Memo(self._word)
+        self.parts = Memo(self._part, most=100_000)
+        self.memo = Memo(self._word, most=200_000)
         self._made[hash(vocabulary)] = self
 
     @staticmethod
