@@ -230,7 +230,8 @@ def is_abstention(text: Column | str) -> Column:
 
 
 def page_range(page: Column, page_end: Column) -> Column:
-    return F.when(page_end.isNull() | (page_end == page), page.cast("string")).otherwise(F.concat_ws("–", page, page_end))
+    """One page, or the first and the last; null without a page."""
+    return F.when(page.isNull() | page_end.isNull() | (page_end == page), page.cast("string")).otherwise(F.concat_ws("–", page, page_end))
 
 
 def section_label(path: Column | str) -> Column:

@@ -69,6 +69,8 @@ def call(rows: DataFrame, prompt: str, make: Callable[[], Callable[[str], str]],
         for attempt in range(attempts):
             try:
                 return client(text), None, "ok"
+            except TimeoutError:
+                return None, "timeout", "failed"
             except ProviderError as error:
                 if error.status == 429 and re.search(r"per ?day|\b[RT]PD\b", str(error), re.I):
                     return None, str(error), "quota"
