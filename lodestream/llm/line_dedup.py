@@ -30,7 +30,8 @@ very long line is one row. Other columns pass through, whatever their names.
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,14 +64,15 @@ def _bucket(hashed: Column) -> Column:
     return F.shiftrightunsigned(hashed, 64 - (BUCKETS.bit_length() - 1)).cast("int")
 
 
-def rarity(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """For each bucket, four times the binary logarithm of its count; from which value on a word is frequent."""
+def rarity(docs: DataFrame) -> tuple[str, int]:
+    """For each bucket, four times the binary logarithm of its count, as one text; from which value on a word is frequent."""
     words = docs.select(F.explode_outer(_words(F.col("text"), F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word")).where(F.col("word").isNotNull())
-    counts = np.zeros(BUCKETS, np.int64)
-    for row in words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count().collect():  # BUCKETS rows at most
-        counts[row.bucket] = row["count"]
-    ranks = np.minimum(127, 4 * np.log2(counts + 1.0)).astype(np.int64)
-    return ranks, int(np.ceil(4 * np.log2(counts.sum() * FREQUENT + 2)))
+    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count()
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+    rank = F.least(F.lit(127), F.floor(4 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("string").alias("rank")
+    ranks = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", rank))), lambda x: x["rank"]), " ")
+    found = every.agg(F.sum("count").alias("total"), ranks.alias("ranks")).first()  # BUCKETS ranks in one row
+    return found.ranks, math.ceil(4 * math.log2((found.total or 0) * FREQUENT + 2))
 
 
 def _hashes(line: str) -> Column:
@@ -96,9 +98,9 @@ def _documents(docs: DataFrame) -> tuple[DataFrame, int]:
     return numbered.select("doc_id", "th", first.alias("first")), bits[2]
 
 
-def classes_of(docs: DataFrame, ranks: np.ndarray, percent: int = PERCENT) -> DataFrame:
+def classes_of(docs: DataFrame, ranks: str, percent: int = PERCENT) -> DataFrame:
     """``id, doc_id, th, pos, n, sig, bits, more`` of each class; ids ascend with the first positions."""
-    table = F.split(F.lit(" ".join(map(str, ranks.tolist()))), " ").cast("array<int>")
+    table = F.split(F.lit(ranks), " ").cast("array<int>")
     order, _ = _documents(docs)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
     lines = texts.select("doc_id", "th", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(_WORD))
