@@ -235,12 +235,6 @@ def token_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.token_count("text").alias("tokens"))
 
 
-@query(r"""WITH x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) SELECT doc_id, count(*) AS n FROM x WHERE regexp_matches(l, '^(#{1,6}\s|\||[-•*+]\s|[“"]?\(?([0-9]+|[a-zđ])[.)]\s)') GROUP BY doc_id""")
-def block_starts(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
-    return rows.where(X.starts_block("l")).groupBy("doc_id").agg(F.count("*").alias("n"))
-
-
 @query(r"""WITH s AS (SELECT DISTINCT id, k, array_to_string(w[i : i + 6], ' ') AS g FROM (SELECT id, k, w, unnest(range(1, len(w) - 5)) AS i FROM (
   SELECT doc_id AS id, 'd' AS k, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents UNION ALL SELECT item_id, 'b', regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') FROM benchmark) WHERE len(w) >= 7))
 SELECT b.id AS item_id, d.id AS doc_id, count(*) AS n FROM s b JOIN s d USING (g) WHERE b.k = 'b' AND d.k = 'd' GROUP BY ALL""")
@@ -256,26 +250,12 @@ def running_lines(spark, sf_dir):
     return index.running_lines(table(spark, sf_dir, "documents"), "source", "doc_id", "text", share=0.0)
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, text || ' [1, 3] and [2-4] [5, clause 2] [1-3-5] [7-900]' AS x FROM conversations)
-SELECT conv_id, turn, '1,3,2,4,5,7,900' AS cited, CAST(2 AS INT) AS malformed, sha256(text || ' and') AS stripped FROM t JOIN conversations USING (conv_id, turn) WHERE FALSE
-UNION ALL SELECT conv_id, turn, '1,3,2,4,5,7,900', 2, sha256(text || ' and') FROM conversations""")
-def parse_citations(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").withColumn("x", F.concat("text", F.lit(" [1, 3] and [2-4] [5, clause 2] [1-3-5] [7-900]")))
-    return rows.select("conv_id", "turn", F.array_join(X.parse_citations("x"), ",").alias("cited"), F.size(X.malformed_citations("x")).alias("malformed"), F.sha2(X.strip_citations("x"), 256).alias("stripped"))
-
-
 @query("""SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) || chr(10) || text AS standalone FROM conversations""")
 def concat_followups(spark, sf_dir):
     before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.last(F.when(F.col("role") == "user", F.col("text")), ignorenulls=True).over(before), F.lit("\n"), F.col("text")).alias("standalone"))
 
 
-@query("""SELECT page_id, CAST(len(string_split(html, '<h')) AS INT) > 0 AS has_lines FROM pages""")
-def html_to_lines(spark, sf_dir):
-    lines = table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(chunking.html_lines, "page_id long, lines array<string>")
-    return lines.select("page_id", (F.size("lines") > 0).alias("has_lines"))
-
-
 def _paragraphs(spark, sf_dir) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     return chunking.reflow(lines)
@@ -338,11 +318,6 @@ def budget_running_total(spark, sf_dir):
     return ledger.running_total(rows, ["event_type", "day"], ["ts", "event_id"], "value").select("event_id", F.round("running", 3).alias("running"))
 
 
-@query()
-def budget_admission(spark, sf_dir):
-    return ledger.admit(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), "event_type", "event_id", "value", 1000.0)
-
-
 # Index maintenance --------------------------------------------------------------------------------------------
 
 

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lodestream.plans import catalog
+from lodestream.plans import catalog, reports  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations events".split()
@@ -21,7 +21,9 @@ def rows(frame):
             return v.date().isoformat()
         if isinstance(v, datetime.date):
             return v.isoformat()
-        return round(float(v), 6) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
+        if isinstance(v, float):  # pandas makes whole numbers with nulls floats
+            return int(v) if float(v).is_integer() else round(float(v), 6)
+        return v.item() if hasattr(v, "item") else v
 
     columns = sorted(frame.columns)
     return sorted(repr([plain(v) for v in r]) for r in frame[columns].astype(object).itertuples(index=False))
@@ -38,8 +40,8 @@ def duck():
     return con
 
 
-CHOSEN = ["bm25_topk", "dense_topk_cosine", "rrf_hybrid", "rrf_zero_weight_branch", "rerank_apply", "retrieval_metrics", "metrics_by_dimension", "largest_remainder_sample", "clean_text", "contamination_shingles", "parse_citations", "concat_followups", "reflow_paragraphs", "price_cost", "sliding_60s_usage", "pacific_day_spend", "upsert_stale_delete", "cache_misses",
-          "quote_outcomes", "fixed_pages", "amended_chunks", "amendment_warnings", "gold_item_errors", "type_shares", "duplicate_ids", "context_precision", "answer_quality", "page_offsets", "stripped_pages", "failed_calls", "assembled_answers"]
+#: All queries with SQL, those of ``plans.reports`` included.
+CHOSEN = sorted(catalog.SQL)
 
 
 @pytest.mark.parametrize("name", CHOSEN)
