@@ -5,8 +5,8 @@ compared by 64-bit hashes. Lines are ordered by document id (null ids first), te
 earlier line has a Jaccard similarity of ``PERCENT`` / 100 or more to it, whether or not that one goes itself; lines without
 words stay as they are.
 
-1. *Rarity.* Words are counted over all lines in ``BUCKETS`` hash buckets; four times the binary logarithm of a bucket's
-   count is a table of fixed size, which goes into the plan as a literal. Words are ordered by that, then by hash.
+1. *Rarity.* Words are counted over all lines in ``BUCKETS`` hash buckets; the buckets' ranks, by the logarithm of their
+   counts, are a table of fixed size, which goes into the plan as a literal. Words are ordered by rank, then by hash.
 2. *Classes.* Equal sets (two 64-bit hashes of the ordered keys, which hold 56 bits of each word's hash; so sets that differ
    are taken for equal only if they are so in all other words) are one class, at the first position; later lines of a class go. A class keeps its size, the prefix of its ordered keys and a parity bitmap of 64 bits of all its keys.
 3. *Prefix, length and positional filters.* Sets x and y, |x| >= |y|, that match share ceil(t/(1+t) (|x|+|y|)) words or
@@ -42,12 +42,13 @@ BUCKETS = 1 << 18
 #: Rows of a broadcast table at most: 64 bytes each or less.
 SMALL = 1 << 18
 PARTS = 16
-#: A word is frequent if its bucket has this share of all words or more, so there are so many such buckets at most.
-FREQUENT = 1 / 1024
+#: The last rank: 45 times the mean count or more. Words of it are frequent.
+TOP = 15
+FREQUENT = TOP
 #: From so many words on, the words of one half of all hashes have a parity bitmap of their own besides that of all words.
 WIDE = 64
 #: A character of a word.
-_WORD = "[^\\x20\\x09-\\x0D]"
+WORD = "[^\\x20\\x09-\\x0D]"
 _LOW = (1 << 56) - 1
 
 
@@ -64,15 +65,19 @@ def _bucket(hashed: Column) -> Column:
     return F.shiftrightunsigned(hashed, 64 - (BUCKETS.bit_length() - 1)).cast("int")
 
 
-def rarity(docs: DataFrame) -> tuple[str, int]:
-    """For each bucket, four times the binary logarithm of its count, as one text; from which value on a word is frequent."""
+def rarity(docs: DataFrame) -> list[int]:
+    """For each bucket its rank, 0 to 15, in half octaves from a quarter of the mean count on; 16 of them in each number."""
     words = docs.select(F.explode_outer(_words(F.col("text"), F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word")).where(F.col("word").isNotNull())
-    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).count()
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
-    rank = F.least(F.lit(127), F.floor(4 * F.log2(F.coalesce("count", F.lit(0)) + 1))).cast("string").alias("rank")
-    ranks = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", rank))), lambda x: x["rank"]), " ")
-    found = every.agg(F.sum("count").alias("total"), ranks.alias("ranks")).first()  # BUCKETS ranks in one row
-    return found.ranks, math.ceil(4 * math.log2((found.total or 0) * FREQUENT + 2))
+    counts = words.groupBy(_bucket(F.xxhash64("word")).alias("bucket")).agg(F.count("*").alias("n"))
+    # eight buckets in a row: 2 * log2 of each count, and the sum of their counts
+    half_octaves = F.call_function("shiftleft", F.floor(2 * F.log2("n")).cast("long") + 1, (F.col("bucket") % 8 * 8).cast("int"))
+    rows = counts.groupBy(F.floor(F.col("bucket") / 8).cast("int").alias("at")).agg(F.bit_or(half_octaves).alias("logs"), F.sum("n").alias("n")).collect()  # BUCKETS / 8 at most
+    least = math.floor(2 * math.log2(max(1, sum(r.n for r in rows)) / BUCKETS)) - 3
+    ranks = [0] * (BUCKETS // 16)
+    for row in rows:
+        for i, log in enumerate((row.logs & (1 << 64) - 1).to_bytes(8, "little")):
+            ranks[row["at"] // 2] |= min(TOP, max(0, log - least)) << 4 * (row["at"] % 2 * 8 + i)
+    return [r - (1 << 64) if r >> 63 else r for r in ranks]
 
 
 def _hashes(line: str) -> Column:
@@ -98,15 +103,17 @@ def _documents(docs: DataFrame) -> tuple[DataFrame, int]:
     return numbered.select("doc_id", "th", first.alias("first")), bits[2]
 
 
-def classes_of(docs: DataFrame, ranks: str, percent: int = PERCENT) -> DataFrame:
+def classes_of(docs: DataFrame, ranks: list[int], percent: int = PERCENT) -> DataFrame:
     """``id, doc_id, th, pos, n, sig, bits, more`` of each class; ids ascend with the first positions."""
-    table = F.split(F.lit(ranks), " ").cast("array<int>")
+    table = F.split(F.lit(" ".join(map(str, ranks))), " ").cast("array<bigint>")
     order, _ = _documents(docs)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    lines = texts.select("doc_id", "th", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(_WORD))
+    lines = texts.select("doc_id", "th", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(WORD))
 
     def key(h: Column) -> Column:
-        rank = F.coalesce(F.get(table, _bucket(h)), F.lit(0)).cast("long")
+        sixteen = F.coalesce(F.get(table, F.shiftrightunsigned(h, 68 - (BUCKETS.bit_length() - 1)).cast("int")), F.lit(0).cast("long"))
+        place = F.shiftrightunsigned(h, 62 - (BUCKETS.bit_length() - 1)).bitwiseAND(F.lit(60)).cast("int")
+        rank = F.call_function("shiftright", sixteen, place).bitwiseAND(F.lit(TOP))
         return F.shiftleft(rank, 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))
 
     keyed = lines.select(F.struct("doc_id", "th", "pos").alias("at"), F.sort_array(F.transform(_hashes("line"), key)).alias("keys"))
@@ -184,9 +191,9 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: in
     return out
 
 
-def _first_round(classes: DataFrame, percent: int, frequent: int) -> DataFrame:
+def _first_round(classes: DataFrame, percent: int) -> DataFrame:
     """``early, late``: each class with the earliest of each of its words, where they may match."""
-    part = F.when(F.shiftright("key", 56) >= frequent, F.col("id") % PARTS).otherwise(0)
+    part = F.when(F.shiftright("key", 56) >= FREQUENT, F.col("id") % PARTS).otherwise(0)
     by_key = Window.partitionBy("key", part).orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     held = _rows(classes, percent, True).withColumn("e", F.first(F.struct("id", "at", "bits", "more")).over(by_key)).where(F.col("id") > F.col("e.id"))
     held = held.select(F.col("id").alias("late"), F.col("e.id").alias("early"), *(F.col(c).alias(f"x{c}") for c in ("at", "bits", "more")), *(F.col(f"e.{c}").alias(f"y{c}") for c in ("at", "bits", "more")))
@@ -214,10 +221,9 @@ def kept_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Each step is a function, so that its plans are gone, and their shuffle files can go, when the next one begins.
     """
     spark = docs.sparkSession
-    ranks, frequent = rarity(docs)
-    classes = classes_of(docs, ranks, percent)
+    classes = classes_of(docs, rarity(docs), percent)
     release(spark)
-    pairs = _first_round(classes, percent, frequent)
+    pairs = _first_round(classes, percent)
     release(spark)
     settled = _verified(docs, classes, pairs, percent)
     more = _second_round(_flagged(classes, settled), pairs, percent)
@@ -232,7 +238,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kept = kept_lines(docs.select("doc_id", "text"), percent).select(F.col("doc_id").alias("id"), "th", "kept")
     rows = docs.select(F.struct(*docs.columns).alias("row")).join(kept, F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("row.text") == F.col("th")), "left")
     rows = rows.select("row", "kept", F.split("row.text", "\n").alias("lines"))  # used twice, so it's made once
-    wordless = F.filter(F.transform("lines", lambda line, i: F.when(~line.rlike(_WORD), i)), lambda i: i.isNotNull())
+    wordless = F.filter(F.transform("lines", lambda line, i: F.when(~line.rlike(WORD), i)), lambda i: i.isNotNull())
     numbers = F.sort_array(F.concat(F.coalesce("kept", F.array().cast("array<int>")), wordless))
     text = F.array_join(F.transform(numbers, lambda i: F.get(F.col("lines"), i)), "\n")
     text = F.when(F.size("kept") == F.size("lines"), F.col("row.text")).otherwise(text)
