@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import decontaminate, jaccard_join, line_dedup, packing, quality_classifier
-from lodestream.llm.shared import SPACE_CLASS, load, materialize
+from lodestream.llm.shared import load, materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +28,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    wordless = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE_CLASS, "")) == 0
-    done = line_dedup.dedup_lines(docs.withColumn("_wordless", wordless))
-    left = done.where(F.col("_wordless") | ~wordless).drop("_wordless")
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    said = lambda c: F.coalesce(F.col(c).rlike(line_dedup.WORD), F.lit(False))
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"), said("text").alias("had_words"))
+    left = line_dedup.dedup_lines(rows).where(~F.col("had_words") | said("text"))
+    n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return left.select(*(F.col("text") if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ are made.
 
 Defined results: a null role is rendered as ``user`` and a null text as empty (for comparison they are not the same as
 those). A null conv_id is a conversation of its own. Null turns come first. Repeated rows are turns of their own. Marks
-within texts are broken by a space, so that a text can't open or close a block. Other columns play no part.
+within texts are broken by a space, so that a text can't open or close a block. Other columns play no part, whatever their
+names. Turns of equal number are ordered by role and text (ties). An empty table gives no rows. A very long conversation
+is one group of a window, which Spark sorts and spills; its rendering is one row.
 """
 
 from __future__ import annotations

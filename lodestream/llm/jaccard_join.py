@@ -27,7 +27,9 @@ if both sets have more such keys than the shingles they may lack; this is tested
 
 Defined results: null, empty and wordless texts have 0 shingles and are their own component. Null doc_ids are never the
 smallest if there is another id. Rows with equal ids are joined by their texts like any others; only the id and text
-columns are read.
+columns are read, so others, whatever their names, play no part (:func:`one_of_each` passes them on). A Jaccard index
+equal to the threshold links (ties). A very long text is hashed alone, and one task holds its set. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -285,16 +287,17 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     Rows are told apart by id (nulls last) and text, so rows of one id with different texts stay or go each by its own
     text. Of rows with equal id and text one stays.
     """
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("digest")))
-    groups = materialize(similar_groups(keyed, words, percent, id_col="_key"), "groups")
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_key")).distinct()
-    kept = keyed.join(gone, "_key", "left_anti")
-    repeated = groups.where(F.col("n_shingles") > 0).groupBy(F.col("doc_id").alias("_key")).count().where("count > 1").select("_key")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("digest")).alias("key")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), key)
+    groups = materialize(similar_groups(keyed.select("key", "row.text"), words, percent, id_col="key"), "groups")
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("key")).distinct()
+    kept = keyed.join(gone, "key", "left_anti")
+    repeated = groups.where(F.col("n_shingles") > 0).groupBy(F.col("doc_id").alias("key")).count().where("count > 1").select("key")
     if repeated.isEmpty():
-        return kept.drop("_key")
-    again = Window.partitionBy("_key").orderBy(*[c for c in docs.columns if c != "doc_id"])
-    alone = kept.join(repeated, "_key", "left_semi").withColumn("_nth", F.row_number().over(again)).where("_nth = 1").drop("_nth")
-    return kept.join(repeated, "_key", "left_anti").unionByName(alone).drop("_key")
+        return kept.select("row.*")
+    again = Window.partitionBy("key").orderBy(*[F.col("row").getField(c) for c in docs.columns if c != "doc_id"])
+    alone = kept.join(repeated, "key", "left_semi").withColumn("nth", F.row_number().over(again)).where("nth = 1").drop("nth")
+    return kept.join(repeated, "key", "left_anti").unionByName(alone).select("row.*")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ model (L2 penalty) is fitted to them by dual coordinate descent; margins become
 the sample that the model didn't see.
 
 Defined results: null, empty and wordless texts have no feature but the constant one, and get its score. If the sample has
-one class only (or none), the score is that class's (or 0.5) everywhere. Repeated ids get a row each.
+one class only (or none), the score is that class's (or 0.5) everywhere. Repeated ids get a row each; labels that disagree
+on one id count as 1. A score that equals the cut is predicted 1 and kept (ties). Very long texts are scored whole. An
+empty table gives no rows. :func:`classify` reads the id and text columns only; :func:`keep_good` passes all columns on.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ word pairs, and pairs with one word between them, hashed to ``BUCKETS`` buckets.
 (``ALPHA``, ``BETA``) and an L1 penalty that leaves most weights at 0, so what is broadcast is the list of the others.
 
 Defined results: null, empty and wordless texts have the constant feature alone. A sample without labels gives 0.5.
-Repeated ids get a row each.
+Repeated ids get a row each; labels that disagree on one id count as 1. A score that equals the cut is predicted 1 (ties).
+Very long texts are scored whole. An empty table gives no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations
