@@ -174,7 +174,7 @@ def test_word_hashes(monkeypatch):
     assert len(set(known.values())) == len(known)
 
 
-@pytest.mark.parametrize("settings", [{"SMALL": 0}, {"FREQUENT": 0.0}, {"BUCKETS": 4}])
+@pytest.mark.parametrize("settings", [{"SMALL": 0}, {"FREQUENT": 0}, {"BUCKETS": 64}])
 def test_line_dedup_settings(docs, monkeypatch, settings):
     """Joins by shuffle, frequent words' leaders by aggregation and a coarse rarity table change no result."""
     whole = sorted(map(repr, line_dedup.dedup_lines(docs).collect()))
