@@ -45,6 +45,8 @@ PERCENTILE = 95
 #: A segment is closed when it has so many ids; a single longer document is one segment.
 SEGMENT_IDS = 1 << 17
 END_ID = 1
+#: Words whose ids a worker remembers.
+MEMO = 400_000
 _HEAD = struct.Struct("<4sIQIII")
 
 
@@ -141,7 +143,7 @@ def write_segments(docs: DataFrame, vocabulary: str | None = None, id_col: str =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, ids_of, end = TaskContext.get().partitionId(), Ids(sent.value), struct.pack("<I", end_id)
+        part, ids_of, end = TaskContext.get().partitionId(), Ids(sent.value, MEMO), struct.pack("<I", end_id)
         number, ahead, names, held, size = 0, 0, [], [], 0
 
         def closed() -> pa.RecordBatch:

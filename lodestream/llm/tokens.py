@@ -38,24 +38,24 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Ids:
-    """Texts to ids. One memo is kept for each vocabulary in a Python worker."""
+    """Texts to ids. One memo, of ``most`` words, is kept for each vocabulary in a Python worker."""
 
-    _made: dict[int, Ids] = {}
+    _made: dict[tuple[int, int], Ids] = {}
 
-    def __new__(cls, vocabulary: str):
-        return cls._made.get(hash(vocabulary)) or super().__new__(cls)
+    def __new__(cls, vocabulary: str, most: int = 200_000):
+        return cls._made.get((hash(vocabulary), most)) or super().__new__(cls)
 
-    def __init__(self, vocabulary: str):
-        if self._made.get(hash(vocabulary)) is self:
+    def __init__(self, vocabulary: str, most: int = 200_000):
+        if self._made.get((hash(vocabulary), most)) is self:
             return
         from tokenizers import Tokenizer
 
         self.check(vocabulary)
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.parts = Memo(self._part, most=100_000)
-        self.memo = Memo(self._word, most=200_000)
-        self._made[hash(vocabulary)] = self
+        self.parts = Memo(self._part, most=most // 2)
+        self.memo = Memo(self._word, most=most)
+        self._made[hash(vocabulary), most] = self
 
     @staticmethod
     def check(vocabulary: str) -> None:
