@@ -449,7 +449,7 @@ SELECT doc_id, CAST(len(s) AS INT) AS lines, sha256(array_to_string(s, chr(10)))
 def stripped_pages(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     keys = index.running_lines(docs, "source", "doc_id", "text", share=0.02)  # at most 2 * 3 / 0.02 for a source
-    running = F.broadcast(keys.groupBy(F.col("doc").alias("source")).agg(F.collect_list("line_key").alias("running")))
+    running = keys.groupBy(F.col("doc").alias("source")).agg(F.collect_list("line_key").alias("running"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
     rows = docs.withColumn("lines", lines).join(running, "source", "left").withColumn("kept", cleanup.strip_furniture(F.col("lines"), F.col("running")))
     return rows.select("doc_id", F.size("kept").alias("lines"), F.sha2(F.array_join("kept", "\n"), 256).alias("hash"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestream.functions import text as X
-from lodestream.operators import answers, evaluation, index, ingest, ledger, retrieval, summaries
+from lodestream.operators import answers, chunking, evaluation, index, ingest, ledger, retrieval, summaries
 from lodestream.plans.catalog import _NORMAL, _PAIRS, _SPLIT, query, table
 
 # Answers ------------------------------------------------------------------------------------------------------
@@ -287,13 +287,27 @@ for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("
     _UNESCAPED = f"replace({_UNESCAPED}, '&{_name};', '{_char}')"
 
 
-@query(rf"""WITH s AS (SELECT page_id, unnest(string_split(regexp_replace(regexp_replace({_HTML}, '</h1>|</?p>|<br ?/?>|</?div[^>]*>|</?article>|</?body>|</?html[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10))) AS l, generate_subscripts(string_split(regexp_replace(regexp_replace({_HTML}, '</h1>|</?p>|<br ?/?>|</?div[^>]*>|</?article>|</?body>|</?html[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)), 1) AS i FROM pages),
-t AS (SELECT page_id, i, trim(regexp_replace({_UNESCAPED.format("l")}, '\s+', ' ', 'g')) AS l FROM s) SELECT page_id, CAST(count(*) AS INT) AS lines, sha256(string_agg(l, chr(10) ORDER BY i)) AS hash FROM t WHERE l <> '' GROUP BY 1""")
+_PAGE_LINES = rf"""s AS (SELECT page_id, unnest(string_split(regexp_replace(regexp_replace({_HTML}, '</h1>|</?p>|<br ?/?>|</?div[^>]*>|</?article>|</?body>|</?html[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10))) AS l, generate_subscripts(string_split(regexp_replace(regexp_replace({_HTML}, '</h1>|</?p>|<br ?/?>|</?div[^>]*>|</?article>|</?body>|</?html[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)), 1) AS i FROM pages),
+t AS (SELECT page_id, i, trim(regexp_replace({_UNESCAPED.format("l")}, '\s+', ' ', 'g')) AS l FROM s)"""
+
+
+@query(f"""WITH {_PAGE_LINES} SELECT page_id, CAST(count(*) AS INT) AS lines, sha256(string_agg(l, chr(10) ORDER BY i)) AS hash FROM t WHERE l <> '' GROUP BY 1""")
 def html_to_lines(spark, sf_dir):
-    from lodestream.operators import chunking
+    return _page_lines(spark, sf_dir).select("page_id", F.size("lines").alias("lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("hash"))
+
+
+def _page_lines(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(chunking.html_lines, "page_id long, lines array<string>")
+
 
-    lines = table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(chunking.html_lines, "page_id long, lines array<string>")
-    return lines.select("page_id", F.size("lines").alias("lines"), F.sha2(F.array_join("lines", "\n"), 256).alias("hash"))
+@query(f"""WITH {_PAGE_LINES}, u AS (SELECT page_id, i, l, sum(CASE WHEN starts_with(l, '# ') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS sec FROM t WHERE l <> ''),
+c AS (SELECT page_id, sec, max(CASE WHEN starts_with(l, '# ') THEN substr(l, 3) END) AS head, string_agg(CASE WHEN NOT starts_with(l, '# ') THEN l END, chr(10) ORDER BY i) AS body FROM u GROUP BY 1, 2), x AS (SELECT page_id, sec, coalesce(head, '') AS heading_path, CASE WHEN head IS NULL THEN body ELSE head || chr(10) || body END AS text FROM c WHERE body IS NOT NULL)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY sec) - 1 AS INT) AS chunk_index, page_id || ':' || lpad(CAST(row_number() OVER (PARTITION BY page_id ORDER BY sec) - 1 AS VARCHAR), 4, '0') AS chunk_id, heading_path, sha256(text) AS hash, CAST(len(regexp_extract_all(text, '[^ \\n]+')) AS INT) AS token_count FROM x""")
+def page_chunks(spark, sf_dir):
+    """Sections of web pages under their headings, each a chunk."""
+    paragraphs = _page_lines(spark, sf_dir).select("page_id", F.posexplode("lines").alias("par", "text"))
+    chunks = chunking.chunk_generic(paragraphs, "page_id", max_tokens=1_000_000_000, overlap=0.0)
+    return chunks.select("page_id", "chunk_index", "chunk_id", "heading_path", F.sha2("text", 256).alias("hash"), "token_count")
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents), m AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '## ' WHEN 1 THEN '| ' WHEN 2 THEN '- ' WHEN 3 THEN '(12) ' WHEN 4 THEN '“đ. ' WHEN 5 THEN '12' ELSE '' END || l AS l FROM l)
