@@ -31,6 +31,7 @@ very long line is one row. Other columns pass through, whatever their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -120,11 +121,12 @@ def classes_of(docs: DataFrame, ranks: list[int], percent: int = PERCENT) -> Dat
     n = F.size("keys")
     prefix = F.slice("keys", 1, n - F.floor((n * percent + 99) / 100).cast("int") + 1)
 
-    def parity(keys: str | Column) -> Column:
-        return F.aggregate(keys, F.lit(0).cast("long"), lambda found, k: found.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(k, 20).bitwiseAND(F.lit(63)).cast("int"))))
+    def parity(one: Callable[[Column], Column]) -> Column:
+        place = lambda k: F.shiftright(k, 20).bitwiseAND(F.lit(63)).cast("int")
+        return F.aggregate("keys", F.lit(0).cast("long"), lambda found, k: found.bitwiseXOR(F.call_function("shiftleft", one(k), place(k))))
 
-    half = F.filter("keys", lambda k: F.shiftright(k, 26).bitwiseAND(F.lit(1)) == 1)
-    made = {"n": n, "sig": prefix, "bits": parity("keys"), "more": F.when(n >= WIDE, parity(half)).otherwise(0)}
+    every, half = parity(lambda k: F.lit(1).cast("long")), parity(lambda k: F.shiftright(k, 26).bitwiseAND(F.lit(1)))
+    made = {"n": n, "sig": prefix, "bits": every, "more": F.when(n >= WIDE, half).otherwise(0)}
     rows = keyed.select("at", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), *(c.alias(name) for name, c in made.items()))
     first = rows.groupBy("h1", "h2").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in made))
     placed = first.join(_small(order.withColumnsRenamed({"doc_id": "d", "th": "t"})), F.col("at.doc_id").eqNullSafe(F.col("d")) & (F.col("at.th") == F.col("t")))
