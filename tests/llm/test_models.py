@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestream.llm import language_id, linear, quality_classifier, quality_rules, toxicity
 
@@ -56,6 +57,25 @@ def test_log_likelihood_ratio(spark, sample):
         assert got[i].kept == (not got[i].base_failed and got[i].score >= cut - 1e-9) or abs(s - cut) < 1e-4
 
 
+@pytest.mark.parametrize("small", [quality_rules.SMALL, 0])
+def test_all_trusted_documents_count(spark, monkeypatch, small):
+    """More trusted documents than were once sampled: all are counted, broadcast or not."""
+    monkeypatch.setattr(quality_rules, "SMALL", small)
+    n = 12_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("aaaaaaa"), F.hex(F.xxhash64("id"))).alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    # both sides have the same counts, so no text differs
+    got = quality_rules.quality_rules(docs, labels)
+    assert got.count() == n and got.where("abs(score) > 1e-9").count() == 0
+
+
+@pytest.mark.parametrize("values", [[0.5], [0.25] * 999 + [-1.0], [i % 977 / 7 for i in range(5000)]])
+@pytest.mark.parametrize("share", [0.0, 0.002, 0.37, 1.0])
+def test_quantile(spark, values, share):
+    scores = spark.createDataFrame([(float(x),) for x in values], "score double").repartition(3)
+    assert quality_rules.quantile(scores, share) == float(np.quantile(values, share))
+
+
 def objective(w, constant, x, sign, cost):
     return 0.5 * (w @ w + constant * constant) + float(np.sum(cost * np.maximum(0, 1 - sign * (x @ w + constant))))
 
