@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from . import linear
-from .shared import Memo, load
+from .shared import Memo, load, trim
 
 BUCKETS = 1 << 18
 EPOCHS = 12
@@ -86,7 +86,9 @@ def scorer(model: tuple):
 
 def model(docs: DataFrame, labels: DataFrame, label: str = "quality"):
     """The fitted model, broadcast: one weight for each of BUCKETS buckets."""
-    return docs.sparkSession.sparkContext.broadcast(fit(*linear.sample(docs, labels, label, features)))
+    fitted = fit(*linear.sample(docs, labels, label, features))
+    trim(docs.sparkSession)  # the sample's features are gone
+    return docs.sparkSession.sparkContext.broadcast(fitted)
 
 
 def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:

@@ -308,3 +308,15 @@ def test_shuffle_files_go_with_the_write(spark):
         time.sleep(0.1)
     assert not files() - before and table.count() == 1000
     assert spark.conf.get(shared._CLEANUP) == "false"
+
+
+def test_release_gives_freed_memory_back(spark):
+    used = lambda: int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024
+    held = [np.ones(12_000) for _ in range(3_000)]
+    last = held[-1]  # what is freed below it stays in malloc's arena
+    del held
+    before = used()
+    shared.release(spark)
+    assert used() < before - 150
+    assert last[0] == 1
+    assert shared.trim(spark)  # the JVM's too
