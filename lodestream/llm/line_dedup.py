@@ -46,8 +46,9 @@ PARTS = 16
 #: The last rank: 45 times the mean count or more. Words of it are frequent.
 TOP = 15
 FREQUENT = TOP
-#: From so many words on, the words of one half of all hashes have a parity bitmap of their own besides that of all words.
-WIDE = 64
+#: From so many words on, the words of one half of all hashes have a parity bitmap of their own besides that of all words: one
+#: of 64 bits can't tell lines that share a long passage from similar ones, as many of the words that differ meet in a bit.
+WIDE = 48
 #: A character of a word.
 WORD = "[^\\x20\\x09-\\x0D]"
 _LOW = (1 << 56) - 1
@@ -112,7 +113,7 @@ def classes_of(docs: DataFrame, ranks: list[int], percent: int = PERCENT) -> Dat
     lines = texts.select("doc_id", "th", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(WORD))
 
     def key(h: Column) -> Column:
-        sixteen = F.coalesce(F.get(table, F.shiftrightunsigned(h, 68 - (BUCKETS.bit_length() - 1)).cast("int")), F.lit(0).cast("long"))
+        sixteen = F.get(table, F.shiftrightunsigned(h, 68 - (BUCKETS.bit_length() - 1)).cast("int"))
         place = F.shiftrightunsigned(h, 62 - (BUCKETS.bit_length() - 1)).bitwiseAND(F.lit(60)).cast("int")
         rank = F.call_function("shiftright", sixteen, place).bitwiseAND(F.lit(TOP))
         return F.shiftleft(rank, 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW)))

@@ -320,3 +320,18 @@ def test_release_gives_freed_memory_back(spark):
     assert used() < before - 150
     assert last[0] == 1
     assert shared.trim(spark)  # the JVM's too
+
+
+def test_lines_that_share_a_passage_make_few_pairs(spark):
+    rng = random.Random(11)
+    passage, words = [f"p{i}" for i in range(50)], [f"w{i}" for i in range(200)]
+    lines = [{*passage, *rng.sample(words, 7), *(f"own{i}-{k}" for k in range(5))} for i in range(150)]
+    lines += [line - {"p0"} | {f"new{i}"} for i, line in enumerate(lines[:20])]
+    docs = spark.createDataFrame([(i, " ".join(sorted(line))) for i, line in enumerate(lines)], "doc_id long, text string")
+    classes = line_dedup.classes_of(docs, line_dedup.rarity(docs))
+    of = {r.id: r.doc_id for r in classes.select("id", "doc_id").collect()}
+    none = spark.createDataFrame([], "early long, late long")
+    got = {(of[r.early], of[r.late]) for r in line_dedup._second_round(classes.withColumn("open", F.lit(True)), none, 80).collect()}
+    alike = {(i, j) for j in range(len(lines)) for i in range(j) if 100 * len(lines[i] & lines[j]) >= 80 * len(lines[i] | lines[j])}
+    assert len(alike) >= 20 and alike <= got
+    assert len(got) < 300  # 923 by one bitmap of all words
